@@ -33,3 +33,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from docspark.llm.tokens import encode_corpus
 
     return encode_corpus(read(spark, folder, "documents"), rank_file())
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.fm_index import leaks
+
+    found = leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()

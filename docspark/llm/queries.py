@@ -41,3 +41,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
     found = leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.shared_spans import shared_spans
+
+    return shared_spans(read(spark, folder, "documents"))

@@ -48,3 +48,11 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     from docspark.llm.shared_spans import shared_spans
 
     return shared_spans(read(spark, folder, "documents"))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.hnsw import neighbours
+
+    near = neighbours(read(spark, folder, "sama_nora_chunks"))
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

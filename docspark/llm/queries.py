@@ -56,3 +56,29 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
     near = neighbours(read(spark, folder, "sama_nora_chunks"))
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.conversations import conversations
+
+    turns = conversations(read(spark, folder, "session_messages"), read(spark, folder, "session_feedback"))
+    return turns.select("session_id", "turn_no", "message_id", "role")
+
+
+SQL["p2_found"] = r"""
+WITH f AS (SELECT message_id, min(nullif(lower(trim(session_id, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), '')) AS f
+           FROM session_feedback GROUP BY message_id),
+d AS (SELECT message_id, user_message AS u, assistant_message AS a, min(timestamp) AS ts,
+             min(nullif(lower(trim(session_id, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), '')) AS s
+      FROM session_messages WHERE message_id IS NOT NULL GROUP BY ALL),
+x AS (SELECT message_id, min(s) AS s,
+             min(CASE WHEN regexp_matches(u, '[\pL\pN]') THEN ts END) AS q, min(CASE WHEN regexp_matches(a, '[\pL\pN]') THEN ts END) AS r,
+             bool_and(ts IS NOT NULL) AS timed
+      FROM d GROUP BY message_id),
+e AS (SELECT x.message_id, coalesce(x.s, f.f) AS session_id, q, coalesce(timed AND q <= r, false) AS good FROM x LEFT JOIN f USING (message_id)),
+k AS (SELECT *, bool_and(good) OVER (PARTITION BY session_id) AS kept FROM e WHERE session_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY q, message_id) AS nth FROM k WHERE kept)
+SELECT session_id, CAST(2 * nth - 1 AS INTEGER) AS turn_no, message_id, 'user' AS role FROM n
+UNION ALL SELECT session_id, CAST(2 * nth AS INTEGER), message_id, 'assistant' FROM n
+"""

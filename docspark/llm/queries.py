@@ -82,3 +82,18 @@ n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY q, message_i
 SELECT session_id, CAST(2 * nth - 1 AS INTEGER) AS turn_no, message_id, 'user' AS role FROM n
 UNION ALL SELECT session_id, CAST(2 * nth AS INTEGER), message_id, 'assistant' FROM n
 """
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_kind, item_key, text, label): chunks, and the questions of session_messages, each once."""
+    chunks = read(spark, folder, "sama_nora_chunks").select(F.lit("chunk").alias("item_kind"), F.col("id").alias("item_key"), F.col("content").alias("text"), F.col("language").alias("label"))
+    asked = read(spark, folder, "session_messages").where("message_id is not null and user_message is not null")
+    asked = asked.select(F.lit("message").alias("item_kind"), F.col("message_id").alias("item_key"), F.col("user_message").alias("text"), F.lit(None).cast("string").alias("label"))
+    return chunks.unionByName(asked)
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.visual_form import look_alike_pairs
+
+    return look_alike_pairs(items(spark, folder))

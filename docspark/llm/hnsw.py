@@ -1,11 +1,12 @@
 """The most similar vectors of every vector: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are searched once; their rows come back through their smallest ids, so a group of copies of any size costs
-one search. Centroids, fitted on a bounded sample of distinct vectors (``sample`` rows), send each vector to its shard;
-every vector is indexed in one shard and searched in the ``probes`` nearest ones. Shards above ``shard_limit`` vectors are
-split. In each shard a graph is built in growing batches and kept as flat neighbour arrays, one for each layer; members
-and visitors are searched in blocks. Similarities are computed again in double precision, rounded to 6 decimals, and the
-results of the shards are merged, ties to the smaller id.
+one search. Centroids, fitted on a bounded sample of vectors (``sample`` rows), send each vector to its shard; shards above
+``shard_limit`` vectors are split. In each shard a graph is built in growing batches and stored as flat neighbour arrays,
+one for each layer, with its vectors. Each member is searched in its own graph; the similarity of its k-th neighbour then
+tells which other shards can hold a better one (a shard lies behind the plane midway between the two centroids), and the
+member is searched there as well, in up to ``probes`` shards, nearest first. Similarities are computed again in double
+precision, rounded to 6 decimals, and the results of the shards are merged, ties to the smaller id.
 
 Shards have the size ``max(shard_size, sqrt(64 n))`` on average, so that neither the number of centroids that a vector is
 compared with nor a shard grows in proportion to the collection.
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docspark.session import written
 
@@ -218,8 +220,30 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+class Stored(Graph):
+    """A graph from its flat arrays."""
+
+    def __init__(self, x: np.ndarray, order: np.ndarray, layers: list[np.ndarray]):
+        self.x, self.order, self.layers = x, order, layers
+
+    @staticmethod
+    def load(vectors: bytes, order: bytes, links: bytes, widths: list[int], sizes: list[int], width: int) -> Stored:
+        flat, layers, at = np.frombuffer(links, np.int32), [], 0
+        for w, size in zip(widths, sizes, strict=True):
+            layers.append(flat[at : at + w * size].reshape(size, w).astype(np.int64))
+            at += w * size
+        x = unit(np.frombuffer(vectors, np.float32).reshape(-1, width)).astype(np.float32)
+        return Stored(x, np.frombuffer(order, np.int32).astype(np.int64), layers)
+
+
+_OUT = (
+    "shard int, sub int, r long, near array<long>, sim array<double>, v array<float>, "
+    "vectors binary, order_ binary, links binary, widths array<int>, sizes array<int>, own array<long>, rids array<string>"
+)
+
+
 def neighbours(
-    rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 4,
+    rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 8,
     shard_size: int = 2_048, sample: int = 50_000, ef: int = 32, m: int = 16,
 ) -> DataFrame:
     """(id, neighbour, similarity): of each usable row the ``k`` rows with the most similar vectors, not itself."""
@@ -230,36 +254,48 @@ def neighbours(
         .where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     )
     reps = usable.groupBy("v").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"))
-    # Numbers in the order of the ids, so that ties can be told without the strings.
-    reps = written(reps.orderBy("rid").withColumn("r", F.monotonically_increasing_id()), "vectors")
+    reps = written(reps.withColumn("r", F.monotonically_increasing_id()), "vectors")
     n = reps.count()
     size = max(shard_size, int(math.sqrt(64 * n)))
-    shards = max(1, round(n / size))
     some = reps.select("v")
     if n > sample:
         some = some.sample(fraction=min(1.0, 1.1 * sample / n), seed=1).limit(sample)
-    fitted = centroids(unit(_matrix(some.toArrow().column(0).combine_chunks(), width)) if n else np.empty((0, width)), shards)
-    assigned = _assigned(reps, fitted, probes, width)
+    fitted = centroids(unit(_matrix(some.toArrow().column(0).combine_chunks(), width)) if n else np.empty((0, width)), max(1, round(n / size)))
+    assigned = _assigned(reps, fitted, width)
     limit = 4 * size
-    if n <= limit:
-        placed = assigned.withColumn("sub", F.lit(0))
-    else:  # a table with a row for each centroid
-        assigned = written(assigned, "assigned")
-        subs = assigned.where("member").groupBy("shard").agg(F.ceil(F.count("*") / limit).cast("int").alias("subs"))
-        own = F.pmod(F.xxhash64("r"), F.col("subs")).cast("int")
-        every = F.sequence(F.lit(0), F.col("subs") - 1)
-        placed = assigned.join(subs, "shard").withColumn("sub", F.explode(every)).withColumn("member", F.col("member") & (F.col("sub") == own)).drop("subs")
-    found = (
-        placed.repartition("shard", "sub")
-        .sortWithinPartitions("shard", "sub", F.col("member").desc())
-        .select("shard", "sub", "member", "r", "v")
-        .mapInArrow(_shard_search(k, width, ef, m), "r long, near array<long>, sim array<double>")
+    counts = assigned.groupBy("shard").agg(F.count("*").alias("c")).collect()  # a row for each centroid
+    subs = [1] * len(fitted)
+    for shard, c in counts:
+        subs[shard] = -(-c // limit)
+    numbers = F.array(*[F.lit(x) for x in subs]) if subs else F.array(F.lit(1))
+    built = (
+        assigned.withColumn("sub", F.pmod(F.xxhash64("r"), F.element_at(numbers, F.col("shard") + 1)).cast("int"))
+        .repartition("shard", "sub")
+        .sortWithinPartitions("shard", "sub")
+        .select("shard", "sub", "r", "rid", "v")
+        .mapInArrow(_build(k, width, ef, m, fitted, subs, probes), _OUT)
     )
-    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.zip_with("near", "sim", lambda a, b: F.struct((-b).alias("far"), a.alias("o")))))), 1, k)
-    merged = found.groupBy("r").agg(best.alias("best"))
+    built = written(built, "graphs")
+    visits = built.where("v is not null").select("shard", "sub", "r", "v")
+    blobs = built.where("vectors is not null").select("shard", "sub", "vectors", "order_", "links", "widths", "sizes", "own", "rids")
+    # A shard with many visitors is read by several tasks.
+    tasks = visits.groupBy("shard", "sub").agg(F.ceil(F.count("*") / (8 * limit)).cast("int").alias("tasks"))
+    visits = visits.join(tasks, ["shard", "sub"]).withColumn("task", F.pmod(F.xxhash64("r"), F.col("tasks")).cast("int")).drop("tasks")
+    blobs = blobs.join(tasks, ["shard", "sub"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    by = ["shard", "sub", "task"]
+    blobs = blobs.select(*[F.col(c).alias(f"b_{c}") for c in by], *[c for c in blobs.columns if c not in by])
+    visits = visits.select(*[F.col(c).alias(f"v_{c}") for c in by], "r", "v")
+    seen = visits.groupBy(*[f"v_{c}" for c in by]).cogroup(blobs.groupBy(*[f"b_{c}" for c in by])).applyInArrow(_visit(k, width, ef), "r long, near array<long>, sim array<double>")
+    found = built.where("near is not null").select("r", "near", "sim").unionByName(seen)
+    every = F.array_sort(F.flatten(F.collect_list(F.zip_with("near", "sim", lambda a, b: F.struct((-b).alias("far"), a.alias("o"))))))
+    merged = found.groupBy("r").agg(every.alias("every"))
+    # Neighbours as far as the last one stay until their ids are known.
+    last = F.when(F.size("every") > k, F.element_at("every", k)["far"]).otherwise(2.0)
+    merged = merged.select("r", F.filter("every", lambda x: x["far"] <= last).alias("best"))
     # From vectors to rows: the smallest ids of each vector stand for it, as no more can be needed.
-    many = reps.where("many").select("v", "r")
-    copies = usable.join(many, "v").select("r", "id").distinct()
+    print_ = (F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
+    many = reps.where("many").select(*print_, "r")
+    copies = usable.select("id", *print_).join(many, ["h1", "h2"]).select("r", "id").distinct()
     least = copies.withColumn("nth", F.row_number().over(Window.partitionBy("r").orderBy("id"))).where(F.col("nth") <= k + 1)
     ids = reps.where("not many").select("r", F.col("rid").alias("id")).unionByName(least.select("r", "id"))
     near = merged.select("r", F.explode("best").alias("x")).select("r", F.col("x.o").alias("o"), F.col("x.far").alias("far"))
@@ -274,68 +310,113 @@ def neighbours(
     )
 
 
-def _assigned(reps: DataFrame, fitted: np.ndarray, probes: int, width: int) -> DataFrame:
-    """(shard, member, r, v): each vector in its own shard (member) and in the other ones where it is searched."""
+def _assigned(reps: DataFrame, fitted: np.ndarray, width: int) -> DataFrame:
+    """(shard, r, rid, v)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _nearest(unit(_matrix(batch.column(1), width)).astype(np.float32), fitted, min(probes, len(fitted)))
-            who = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            member = np.tile(np.arange(near.shape[1]) == 0, batch.num_rows)
-            columns = [pa.array(near.ravel().astype(np.int32)), pa.array(member), batch.column(0).take(who), batch.column(1).take(who)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "member", "r", "v"])
-
-    return reps.select("r", "v").mapInArrow(run, "shard int, member boolean, r long, v array<float>")
-
-
-def _shard_search(k: int, width: int, ef: int, m: int):
-    def answers(graph: Graph, own: np.ndarray, exact: np.ndarray, r: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        q = unit(v)
-        ids = graph.search(q, ef)
-        sims = np.round(np.einsum("bd,bkd->bk", q, exact[ids]), 6)
-        sims[(ids < 0) | (own[ids] == r[:, None])] = -9
-        order = np.lexsort((own[ids], -sims), axis=1)[:, :k]
-        ids, sims = np.take_along_axis(own[ids], order, 1), np.take_along_axis(sims, order, 1)
-        real = sims > -9
-        offsets = pa.array(np.append(0, np.cumsum(real.sum(1))).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(r), pa.ListArray.from_arrays(offsets, pa.array(ids[real])), pa.ListArray.from_arrays(offsets, pa.array(sims[real]))], names=["r", "near", "sim"]
-        )
+            near = _nearest(unit(_matrix(batch.column(2), width)).astype(np.float32), fitted, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], names=["shard", "r", "rid", "v"])
+
+    return reps.select("r", "rid", "v").mapInArrow(run, "shard int, r long, rid string, v array<float>")
+
+
+def _ranked(q: np.ndarray, ids: np.ndarray, exact: np.ndarray, own: np.ndarray, place: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the found indices the ``k`` best by exact similarity, rounded, then by the place of their ids: (r, similarity)."""
+    sims = np.round(np.einsum("bd,bkd->bk", q, exact[ids]), 6)
+    sims[(ids < 0) | (own[ids] == r[:, None])] = -9
+    order = np.lexsort((place[ids], -sims), axis=1)[:, :k]
+    return np.take_along_axis(own[ids], order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _lists(near: np.ndarray, sims: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    real = sims > -9
+    offsets = pa.array(np.append(0, np.cumsum(real.sum(1))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(near[real])), pa.ListArray.from_arrays(offsets, pa.array(sims[real]))
+
+
+def _places(rids: list[str]) -> np.ndarray:
+    out = np.empty(len(rids), np.int64)
+    out[sorted(range(len(rids)), key=rids.__getitem__)] = np.arange(len(rids))
+    return out
+
+
+def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[int], probes: int):
+    schema = to_arrow_schema(T._parse_datatype_string(_OUT))
+
+    def batch(rows: int, **columns: object) -> pa.RecordBatch:
+        arrays = [pa.array(c, f.type) if (c := columns.get(f.name)) is not None and not isinstance(c, pa.Array) else pa.nulls(rows, f.type) if c is None else c for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def shard(shard: int, sub: int, r: np.ndarray, rids: list[str], v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        exact, place = unit(v), _places(rids)
+        graph = Graph(exact, m, 48)
+        near, sims = _ranked(exact, graph.search(exact, ef), exact, r, place, r, k)
+        lists = _lists(near, sims)
+        yield batch(len(r), r=r, near=lists[0], sim=lists[1])
+        links = np.concatenate([x.ravel() for x in graph.layers]).astype(np.int32)
+        yield batch(
+            1, shard=[shard], sub=[sub], vectors=[v[graph.order].astype(np.float32).tobytes()], order_=[graph.order.astype(np.int32).tobytes()], links=[links.tobytes()],
+            widths=[[x.shape[1] for x in graph.layers]], sizes=[[len(x) for x in graph.layers]], own=[r.tolist()], rids=[rids],
+        )
+        # Where else: the sine of the angle to the plane between the centroids bounds the similarity behind it.
+        c = fitted.astype(np.float64)
+        apart = np.linalg.norm(c - c[shard], axis=1)
+        sine = ((exact @ c[shard])[:, None] - exact @ c.T) / np.maximum(apart, 1e-12)
+        bound = np.sqrt(np.maximum(0, 1 - np.maximum(sine, 0) ** 2)) + 1e-6
+        kth = sims[:, k - 1] if sims.shape[1] >= k else np.full(len(r), -9.0)
+        bound[:, shard] = -9
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :probes]
+        who, nth = np.nonzero(np.take_along_axis(bound, best, 1) >= np.maximum(kth, -1)[:, None])
+        to = best[who, nth]
+        places = [(w, int(t), x) for w, t in zip(who.tolist(), to.tolist(), strict=True) for x in range(subs[t])]
+        places += [(w, shard, x) for x in range(subs[shard]) if x != sub for w in range(len(r))]
+        for at in range(0, len(places), 10_000):
+            w, t, x = zip(*places[at : at + 10_000], strict=True)
+            w = np.array(w)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * width), pa.array(v[w].astype(np.float32).ravel()))
+            yield batch(len(w), shard=t, sub=x, r=r[w], v=flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, graph, own, exact, wait = None, None, None, None, []
+        key, wait = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if wait:
+                rids = [x for _, names, _ in wait for x in names]
+                yield from shard(*key, np.concatenate([x[0] for x in wait]), rids, np.concatenate([x[2] for x in wait]))
+
+        for b in batches:
+            names = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
+            r, rids, v = b.column(2).to_numpy(), b.column(3).to_pylist(), _matrix(b.column(4), width)
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if (now := tuple(names[a].tolist())) != key:
+                    yield from done()
+                    key, wait = now, []
+                wait.append((r[a:z], rids[a:z], v[a:z]))
+        yield from done()
 
-        def build() -> None:
-            nonlocal graph, own, exact, wait
-            own = np.concatenate([r for r, _ in wait])
-            vectors = np.concatenate([v for _, v in wait])
-            exact, graph, wait = unit(vectors), Graph(unit(vectors), m, 48), []
+    return run
 
-        for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            member = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            r, v = batch.column(3).to_numpy(), _matrix(batch.column(4), width)
-            at = 0
-            while at < len(names):
-                end = at + 1
-                while end < len(names) and names[end] == names[at] and member[end] == member[at]:
-                    end += 1
-                if names[at] != key:
-                    if wait:
-                        build()
-                        yield answers(graph, own, exact, own, exact)
-                    key, graph = names[at], None
-                if member[at]:
-                    wait.append((r[at:end], v[at:end]))
-                else:
-                    if wait:
-                        build()
-                        yield answers(graph, own, exact, own, exact)
-                    if graph is not None:
-                        yield answers(graph, own, exact, r[at:end], v[at:end])
-                at = end
-        if wait:
-            build()
-            yield answers(graph, own, exact, own, exact)
+
+def _visit(k: int, width: int, ef: int):
+    def run(visits: pa.Table, blob: pa.Table) -> pa.Table:
+        names = ["r", "near", "sim"]
+        if not visits.num_rows or not blob.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))], names=names)
+        one = {c: blob.column(c)[0].as_py() for c in blob.column_names}
+        graph = Stored.load(one["vectors"], one["order_"], one["links"], one["widths"], one["sizes"], width)
+        own, place = np.array(one["own"], np.int64), _places(one["rids"])
+        exact = np.empty((len(own), width))
+        exact[graph.order] = unit(np.frombuffer(one["vectors"], np.float32).reshape(-1, width))
+        r, v = visits.column("r").combine_chunks().to_numpy(), _matrix(visits.column("v").combine_chunks(), width)
+        parts = []
+        for at in range(0, len(r), 4096):
+            q = unit(v[at : at + 4096])
+            near, sims = _ranked(q, graph.search(q, ef), exact, own, place, r[at : at + 4096], k)
+            parts.append(pa.Table.from_arrays([pa.array(r[at : at + 4096]), *_lists(near, sims)], names=names))
+        return pa.concat_tables(parts)
 
     return run

@@ -21,6 +21,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docspark.session import written
+
 # Letters that look like a Latin letter or an ASCII sign.
 LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
@@ -129,7 +131,8 @@ def look_alike_pairs(items: DataFrame) -> DataFrame:
     aren't the same characters; only texts with a letter or digit. Items with the same text aren't paired; groups of one
     text are left out before the join."""
     said = items.where(F.col("text").rlike("[\\p{L}\\p{N}]")).select("item_kind", "item_key", "text")
-    sides = with_form(said, "text", "form").select("item_kind", "item_key", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t")).distinct()
+    sides = with_form(said, "text", "form").select("item_kind", "item_key", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t"))
+    sides = written(sides, "forms")
     mixed = sides.groupBy("item_kind", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("item_kind", "f")
     kept = sides.join(mixed, ["item_kind", "f"])
     one, two = kept.alias("one"), kept.alias("two")

@@ -121,3 +121,21 @@ w AS (SELECT id, p, s, flatten(list_transform(p, lambda x: string_split_regex(x,
 SELECT id AS chunk_id, CASE WHEN list_max(list_transform(p, lambda x: length(x))) <= 1600 THEN 'paragraph'
   WHEN list_max(list_transform(s, lambda x: length(x))) <= 1600 THEN 'sentence' WHEN list_max(list_transform(w, lambda x: length(x))) <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM w
 """
+
+
+def _language_filters(spark: SparkSession, folder: str):
+    from docspark.llm.lang_id import fit_filters, label_language
+
+    chunks = read(spark, folder, "sama_nora_chunks").select("content", label_language(F.col("language")).alias("l"))
+    return fit_filters(chunks, "content", "l")
+
+
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.lang_id import label_language, languages
+
+    filters, look = _language_filters(spark, folder)
+    found = languages(items(spark, folder), filters, look, "text", ["item_kind", "item_key", "label"])
+    each = found.select("item_kind", "item_key", label_language(F.col("label")).alias("named"), F.explode("passages").alias("x"))
+    each = each.where("x.lang is not null and x.words >= 4 and not (x.lang <=> named)")
+    return each.select("item_kind", "item_key", F.col("x.lang").alias("lang")).distinct()

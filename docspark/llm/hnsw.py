@@ -4,8 +4,9 @@ Equal vectors are searched once; their rows come back through their smallest ids
 one search. Centroids, fitted on a bounded sample of vectors (``sample`` rows), send each vector to its shard; shards above
 ``shard_limit`` vectors are split. In each shard a graph is built in growing batches and stored as flat neighbour arrays,
 one for each layer, with its vectors. Each member is searched in its own graph; the similarity of its k-th neighbour then
-tells which other shards can hold a better one (a shard lies behind the plane midway between the two centroids), and the
-member is searched there as well, in up to ``probes`` shards, nearest first. Similarities are computed again in double
+tells which other shards may well hold a better one (a shard lies behind the plane midway between the two centroids), and
+the member is searched there as well, in up to ``probes`` shards, nearest first: those whose plane is nearer than
+``reach`` times the k-th neighbour, by 1 - similarity. Similarities are computed again in double
 precision, rounded to 6 decimals, and the results of the shards are merged, ties to the smaller id.
 
 Shards have the size ``max(shard_size, sqrt(64 n))`` on average, so that neither the number of centroids that a vector is
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,13 +239,13 @@ class Stored(Graph):
 
 
 _OUT = (
-    "shard int, sub int, r long, near array<long>, sim array<double>, v array<float>, "
+    "shard int, sub int, r long, near array<long>, sim array<double>, rid string, many boolean, h1 long, h2 long, v array<float>, "
     "vectors binary, order_ binary, links binary, widths array<int>, sizes array<int>, own array<long>, rids array<string>"
 )
 
 
 def neighbours(
-    rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 8,
+    rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 3, reach: float = 0.1,
     shard_size: int = 2_048, sample: int = 50_000, ef: int = 32, m: int = 16,
 ) -> DataFrame:
     """(id, neighbour, similarity): of each usable row the ``k`` rows with the most similar vectors, not itself."""
@@ -253,27 +255,25 @@ def neighbours(
         .where(F.col("id").isNotNull() & (F.size(v) == width))
         .where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     )
-    reps = usable.groupBy("v").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"))
-    reps = written(reps.withColumn("r", F.monotonically_increasing_id()), "vectors")
-    n = reps.count()
-    size = max(shard_size, int(math.sqrt(64 * n)))
-    some = reps.select("v")
-    if n > sample:
+    some = usable.select("v")
+    if (n := usable.count()) > sample:
         some = some.sample(fraction=min(1.0, 1.1 * sample / n), seed=1).limit(sample)
-    fitted = centroids(unit(_matrix(some.toArrow().column(0).combine_chunks(), width)) if n else np.empty((0, width)), max(1, round(n / size)))
-    assigned = _assigned(reps, fitted, width)
+    size = max(shard_size, int(math.sqrt(64 * n)))
+    known = unit(np.unique(_matrix(some.toArrow().column(0).combine_chunks(), width), axis=0)) if n else np.empty((0, width))
+    fitted = centroids(known, max(1, round(n / size)))
     limit = 4 * size
-    counts = assigned.groupBy("shard").agg(F.count("*").alias("c")).collect()  # a row for each centroid
-    subs = [1] * len(fitted)
-    for shard, c in counts:
-        subs[shard] = -(-c // limit)
-    numbers = F.array(*[F.lit(x) for x in subs]) if subs else F.array(F.lit(1))
+    share = np.bincount(_nearest(known.astype(np.float32), fitted, 1)[:, 0], minlength=1) * (n / max(1, len(known)))
+    subs = [max(1, math.ceil(x / limit)) for x in share.tolist()]
+    numbers = F.array(*[F.lit(x) for x in subs])  # for each centroid
+    reps = usable.groupBy("v").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"))
+    print_ = (F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
     built = (
-        assigned.withColumn("sub", F.pmod(F.xxhash64("r"), F.element_at(numbers, F.col("shard") + 1)).cast("int"))
+        _assigned(reps.select("rid", "many", *print_, "v"), fitted, width)
+        .withColumn("sub", F.pmod(F.col("h1"), F.element_at(numbers, F.col("shard") + 1)).cast("int"))
         .repartition("shard", "sub")
         .sortWithinPartitions("shard", "sub")
-        .select("shard", "sub", "r", "rid", "v")
-        .mapInArrow(_build(k, width, ef, m, fitted, subs, probes), _OUT)
+        .select("shard", "sub", "rid", "many", "h1", "h2", "v")
+        .mapInArrow(_build(k, width, ef, m, fitted, subs, probes, reach), _OUT)
     )
     built = written(built, "graphs")
     visits = built.where("v is not null").select("shard", "sub", "r", "v")
@@ -285,16 +285,16 @@ def neighbours(
     by = ["shard", "sub", "task"]
     blobs = blobs.select(*[F.col(c).alias(f"b_{c}") for c in by], *[c for c in blobs.columns if c not in by])
     visits = visits.select(*[F.col(c).alias(f"v_{c}") for c in by], "r", "v")
+    reps = built.where("near is not null")
     seen = visits.groupBy(*[f"v_{c}" for c in by]).cogroup(blobs.groupBy(*[f"b_{c}" for c in by])).applyInArrow(_visit(k, width, ef), "r long, near array<long>, sim array<double>")
-    found = built.where("near is not null").select("r", "near", "sim").unionByName(seen)
+    found = reps.select("r", "near", "sim").unionByName(seen)
     every = F.array_sort(F.flatten(F.collect_list(F.zip_with("near", "sim", lambda a, b: F.struct((-b).alias("far"), a.alias("o"))))))
     merged = found.groupBy("r").agg(every.alias("every"))
     # Neighbours as far as the last one stay until their ids are known.
     last = F.when(F.size("every") > k, F.element_at("every", k)["far"]).otherwise(2.0)
     merged = merged.select("r", F.filter("every", lambda x: x["far"] <= last).alias("best"))
     # From vectors to rows: the smallest ids of each vector stand for it, as no more can be needed.
-    print_ = (F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
-    many = reps.where("many").select(*print_, "r")
+    many = reps.where("many").select("h1", "h2", "r")
     copies = usable.select("id", *print_).join(many, ["h1", "h2"]).select("r", "id").distinct()
     least = copies.withColumn("nth", F.row_number().over(Window.partitionBy("r").orderBy("id"))).where(F.col("nth") <= k + 1)
     ids = reps.where("not many").select("r", F.col("rid").alias("id")).unionByName(least.select("r", "id"))
@@ -311,14 +311,15 @@ def neighbours(
 
 
 def _assigned(reps: DataFrame, fitted: np.ndarray, width: int) -> DataFrame:
-    """(shard, r, rid, v)"""
+    """``reps``, whose last column is the vector, with its shard."""
+    names = [*reps.columns, "shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _nearest(unit(_matrix(batch.column(2), width)).astype(np.float32), fitted, 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], names=["shard", "r", "rid", "v"])
+            near = _nearest(unit(_matrix(batch.column(batch.num_columns - 1), width)).astype(np.float32), fitted, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=names)
 
-    return reps.select("r", "rid", "v").mapInArrow(run, "shard int, r long, rid string, v array<float>")
+    return reps.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in reps.schema), T.StructField("shard", T.IntegerType())]))
 
 
 def _ranked(q: np.ndarray, ids: np.ndarray, exact: np.ndarray, own: np.ndarray, place: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,19 +342,21 @@ def _places(rids: list[str]) -> np.ndarray:
     return out
 
 
-def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[int], probes: int):
+def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[int], probes: int, reach: float):
     schema = to_arrow_schema(T._parse_datatype_string(_OUT))
 
     def batch(rows: int, **columns: object) -> pa.RecordBatch:
-        arrays = [pa.array(c, f.type) if (c := columns.get(f.name)) is not None and not isinstance(c, pa.Array) else pa.nulls(rows, f.type) if c is None else c for f in schema]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        given = [(columns.get(f.name), f.type) for f in schema]
+        return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in given], schema=schema)
 
-    def shard(shard: int, sub: int, r: np.ndarray, rids: list[str], v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def shard(shard: int, sub: int, first: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rids, v = rows.column(2).to_pylist(), _matrix(rows.column(6), width)
+        r = np.arange(first, first + len(v))
         exact, place = unit(v), _places(rids)
         graph = Graph(exact, m, 48)
         near, sims = _ranked(exact, graph.search(exact, ef), exact, r, place, r, k)
         lists = _lists(near, sims)
-        yield batch(len(r), r=r, near=lists[0], sim=lists[1])
+        yield batch(len(r), r=r, near=lists[0], sim=lists[1], rid=rows.column(2), many=rows.column(3), h1=rows.column(4), h2=rows.column(5))
         links = np.concatenate([x.ravel() for x in graph.layers]).astype(np.int32)
         yield batch(
             1, shard=[shard], sub=[sub], vectors=[v[graph.order].astype(np.float32).tobytes()], order_=[graph.order.astype(np.int32).tobytes()], links=[links.tobytes()],
@@ -363,13 +366,13 @@ def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[i
         c = fitted.astype(np.float64)
         apart = np.linalg.norm(c - c[shard], axis=1)
         sine = ((exact @ c[shard])[:, None] - exact @ c.T) / np.maximum(apart, 1e-12)
-        bound = np.sqrt(np.maximum(0, 1 - np.maximum(sine, 0) ** 2)) + 1e-6
-        kth = sims[:, k - 1] if sims.shape[1] >= k else np.full(len(r), -9.0)
+        bound = np.sqrt(np.maximum(0, 1 - np.maximum(sine, 0) ** 2))
+        kth = np.maximum(sims[:, k - 1], -1) if sims.shape[1] >= k else np.full(len(r), -1.0)
         bound[:, shard] = -9
         best = np.argsort(-bound, axis=1, kind="stable")[:, :probes]
-        who, nth = np.nonzero(np.take_along_axis(bound, best, 1) >= np.maximum(kth, -1)[:, None])
+        who, nth = np.nonzero(1 - np.take_along_axis(bound, best, 1) <= np.where(kth > -1, reach * (1 - kth), 3)[:, None] + 1e-6)
         to = best[who, nth]
-        places = [(w, int(t), x) for w, t in zip(who.tolist(), to.tolist(), strict=True) for x in range(subs[t])]
+        places = [(w, t, x) for w, t in zip(who.tolist(), to.tolist(), strict=True) if t != shard for x in range(subs[t])]
         places += [(w, shard, x) for x in range(subs[shard]) if x != sub for w in range(len(r))]
         for at in range(0, len(places), 10_000):
             w, t, x = zip(*places[at : at + 10_000], strict=True)
@@ -378,24 +381,25 @@ def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[i
             yield batch(len(w), shard=t, sub=x, r=r[w], v=flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, wait = None, []
+        key, wait, first = None, [], TaskContext.get().partitionId() << 40
 
         def done() -> Iterator[pa.RecordBatch]:
+            nonlocal first, wait
             if wait:
-                rids = [x for _, names, _ in wait for x in names]
-                yield from shard(*key, np.concatenate([x[0] for x in wait]), rids, np.concatenate([x[2] for x in wait]))
+                rows = pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+                yield from shard(*key, first, rows)
+                first, wait = first + rows.num_rows, []
 
         for b in batches:
             names = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
-            r, rids, v = b.column(2).to_numpy(), b.column(3).to_pylist(), _matrix(b.column(4), width)
             edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
             for a, z in zip(edges, edges[1:]):
                 if a == z:
                     continue
                 if (now := tuple(names[a].tolist())) != key:
                     yield from done()
-                    key, wait = now, []
-                wait.append((r[a:z], rids[a:z], v[a:z]))
+                    key = now
+                wait.append(b.slice(a, z - a))
         yield from done()
 
     return run

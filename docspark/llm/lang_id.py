@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANGUAGES = ("en", "ar", "fr", "de", "es")
 # The ways a label names a language.
@@ -213,7 +214,9 @@ def languages(df: DataFrame, filters: Filters, look: dict[int, str], text_col: s
     the passage's longest sentence. One pass, no shuffle."""
     slim = df.select(*[F.col(k) for k in keys], F.col(text_col).alias("__text"))
     kind = "array<struct<no:int,lang:string,confidence:double,words:int>>"
-    schema = slim.drop("__text").withColumns({"lang": F.lit("").cast("string"), "confidence": F.lit(0.0), "passages": F.lit(None).cast(kind)}).schema
+    fields = [T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("passages", T._parse_datatype_string(kind))]
+    schema = T.StructType([*slim.schema.fields[:-1], *fields])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     shared = df.sparkSession.sparkContext.broadcast((filters, look))
     part_type = pa.list_(pa.struct([("no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())]))
 

@@ -139,3 +139,34 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     each = found.select("item_kind", "item_key", label_language(F.col("label")).alias("named"), F.explode("passages").alias("x"))
     each = each.where("x.lang is not null and x.words >= 4 and not (x.lang <=> named)")
     return each.select("item_kind", "item_key", F.col("x.lang").alias("lang")).distinct()
+
+
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = read(spark, folder, "sama_nora_chunks").select(
+        F.lit("chunk").alias("item_kind"), F.col("id").alias("item_key"), F.col("content").alias("text"),
+        F.col("document_name").alias("name"), F.col("section_title").alias("title"), F.col("page_start").alias("first"), F.col("page_end").alias("last"),
+    )
+    sources = read(spark, folder, "answer_sources").select(
+        F.lit("source").alias("item_kind"), F.col("source_id").cast("string").alias("item_key"), F.col("snippet").alias("text"),
+        F.col("document_name").alias("name"), F.col("section_title").alias("title"), F.col("page_start").alias("first"), F.col("page_end").alias("last"),
+    )
+    return chunks.unionByName(sources)
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.lang_id import look_table
+    from docspark.llm.ocr_repair import fit_layout, scan_noise
+
+    texts = _scans(spark, folder)
+    return scan_noise(texts, fit_layout(texts.where("item_kind = 'chunk'")), look_table())
+
+
+@query
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.lang_id import look_table
+    from docspark.llm.ocr_repair import fit_layout, scanned_lines
+
+    texts = _scans(spark, folder)
+    found = scanned_lines(texts, fit_layout(texts.where("item_kind = 'chunk'")), look_table())
+    return found.select("item_kind", "item_key", F.posexplode("paragraphs").alias("no", "paragraph"))

@@ -170,3 +170,11 @@ def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     texts = _scans(spark, folder)
     found = scanned_lines(texts, fit_layout(texts.where("item_kind = 'chunk'")), look_table())
     return found.select("item_kind", "item_key", F.posexplode("paragraphs").alias("no", "paragraph"))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from docspark.llm.pair_defects import defects
+
+    filters, look = _language_filters(spark, folder)
+    return defects(read(spark, folder, "session_messages"), filters, look)

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docspark.config import Settings
 from docspark.functions.text import alternation, squeeze, strip
@@ -31,7 +32,7 @@ def local_name(url: Column) -> Column:
     return F.concat(F.substring(F.md5(url), 1, 8), F.lit("_"), F.when(safe != "", safe).otherwise("document"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link, strict=True)])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.config import Settings
-from docspark.functions.text import grounding, looks_arabic, normalize_question, says_not_found
+from docspark.functions.text import grounding, looks_arabic, normalize_question, phrases, says_not_found
 
 
 def method_verdict(expected: Column, method: Column, not_found: Column, timed_out: Column) -> Column:
@@ -73,17 +73,23 @@ def evaluation_runs(messages: DataFrame, sources: DataFrame, settings: Settings
     line = F.concat(F.coalesce("snippet", F.lit("")), F.lit(" "), F.coalesce("document_name", F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("source_id", line.alias("t"))))
     cited = sources.groupBy("message_id").agg(
-        F.array_join(F.transform(lines, lambda x: x["t"]), " ").alias("text"), F.max("similarity").alias("top_sim"), F.count("*").alias("candidates")
+        F.lower(F.array_join(F.transform(lines, lambda x: x["t"]), " ")).alias("text"), F.max("similarity").alias("top_sim"), F.count("*").alias("candidates")
     )
     none = says_not_found(F.col("answer"), settings)
     base = one.join(cited, "message_id", "left").select(
         "message_id", "question", "answer", F.when(looks_arabic(F.col("question")), "arabic").otherwise("regulatory").alias("category"),
         F.when(F.col("candidates").isNull(), "not_found").otherwise("generative").alias("method"), F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"),
         F.coalesce("candidates", F.lit(0)).alias("candidates"), none.alias("not_found"),
-        F.when(none | F.col("text").isNull(), F.struct(F.lit(0.0).alias("ratio"), F.array().cast("array<string>").alias("matched"))).otherwise(grounding(F.col("answer"), F.col("text"))).alias("g"),
+        F.col("text"),
+        # Generators keep what they are given from being worked out again for every use.
+        F.explode(F.array(phrases(F.col("answer")))).alias("found"),
     )
     late = F.lit(False)
-    scored = base.withColumn("phrase_ratio", F.col("g.ratio")).withColumn("matched", F.size("g.matched")).drop("g")
+    none_matched = F.struct(F.lit(0).alias("phrases"), F.array().cast("array<string>").alias("matched"))
+    given = F.when(F.col("not_found") | F.col("text").isNull(), none_matched).otherwise(grounding(F.col("found"), F.col("text")))
+    held = base.select(*[c for c in base.columns if c not in ("found", "text")], F.explode(F.array(given)).alias("g"))
+    ratio = F.when(F.col("g.phrases") > 0, F.round(F.size("g.matched") / F.col("g.phrases"), 2)).otherwise(0.0)
+    scored = held.withColumn("phrase_ratio", ratio).withColumn("matched", F.size("g.matched")).drop("g")
     scored = scored.withColumn("judge", F.when(F.col("method") == "not_found", "SKIP").otherwise(judge(F.col("phrase_ratio"))))
     scored = scored.withColumn("retrieval", retrieval_success(F.col("method"), F.col("not_found"), late, F.col("category")))
     scored = scored.withColumn("method_verdict", method_verdict(F.lit("correct"), F.col("method"), F.col("not_found"), late))

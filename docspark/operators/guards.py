@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.config import Settings
+from docspark.functions.text import strip
 
 _EDGE = "[\\p{L}\\p{N}_]"
 
@@ -41,7 +42,7 @@ def canned(question: Column, keyword: str, markers: tuple[str, ...] = ("what is"
 def method(question: Column, cached: Column, candidates: Column, top_similarity: Column, keyword: str = "nora", settings: Settings = Settings()) -> Column:
     """The first that holds: none, canned, out of scope, cached, not found (no candidate, or too far), generative."""
     return (
-        F.when(question.isNull() | (F.trim(question) == ""), "none")
+        F.when(question.isNull() | (strip(question) == ""), "none")
         .when(canned(question, keyword), "canned")
         .when(out_of_scope(question, settings), "out_of_scope")
         .when(cached, "cached")

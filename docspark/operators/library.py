@@ -49,7 +49,7 @@ def stats(registry: DataFrame, chunks: DataFrame, messages: DataFrame, sessions:
 def rolling_latency(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(user_id, event_id, mean_latency): of each request the mean of the last 50 of its user."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1 - settings.latency_window, 0)
-    return events.select("user_id", "event_id", F.round(F.avg("value").over(order), 4).alias("mean_latency"))
+    return events.select("user_id", "event_id", F.round(F.avg("value").over(order), 8).alias("mean_latency"))
 
 
 def running_hits(events: DataFrame, hit: str = "view") -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+
+_TYPES = {
+    "string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(), "timestamp": TimestampType(), "array<float>": ArrayType(FloatType()),
+}
 
 
 def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+    """Without a session, which Spark's own parser needs."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in ddl.split(","))])
 
 
 DOC_REGISTRY = _schema("id string, document_name string, document_code string, source_type string, total_pages string")

@@ -116,7 +116,7 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQL["p5_found"] = rf"""
 WITH c AS (SELECT id, string_split_regex(content, '{_WS}*\n{_WS}*\n{_WS}*') AS p FROM sama_nora_chunks WHERE length(content) > 1600),
-s AS (SELECT id, p, flatten(list_transform(p, lambda x: string_split(regexp_replace(x, '([.!?؟]){_WS}+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM c),
+s AS (SELECT id, p, flatten(list_transform(p, lambda x: string_split(regexp_replace(x, '([.!?؟]){_WS}+', '\1' || chr(57344), 'g'), chr(57344)))) AS s FROM c),
 w AS (SELECT id, p, s, flatten(list_transform(p, lambda x: string_split_regex(x, '{_WS}+'))) AS w FROM s)
 SELECT id AS chunk_id, CASE WHEN list_max(list_transform(p, lambda x: length(x))) <= 1600 THEN 'paragraph'
   WHEN list_max(list_transform(s, lambda x: length(x))) <= 1600 THEN 'sentence' WHEN list_max(list_transform(w, lambda x: length(x))) <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM w

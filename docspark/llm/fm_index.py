@@ -44,7 +44,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     ends = np.zeros(n, bool)  # a 0 within the first m symbols
     for k in range(m):
         key <<= bits
-        key[: n - k] |= s[k:]
+        key[: n - k] |= np.where(ends[: n - k], 0, s[k:])
         ends[: n - k] |= s[k:] == 0
     order = np.argsort(key, kind="stable")
     sorted_key, sorted_end = key[order], ends[order]

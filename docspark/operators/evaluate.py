@@ -142,3 +142,22 @@ def dedup_questions(questions: DataFrame) -> DataFrame:
     key = normalize_question(F.col("question"))
     order = Window.partitionBy("key").orderBy("id")
     return questions.withColumn("key", key).where("key <> ''").withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "question", "key")
+
+
+def judged_sources(sources: DataFrame, most: int = 5) -> DataFrame:
+    """(message_id, n, snippets): the text of the first five sources of each answer, as a judge reads it."""
+    order = Window.partitionBy("message_id").orderBy(F.col("similarity").desc_nulls_last(), "source_id")
+    top = sources.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    parts = F.array_sort(F.collect_list(F.struct("nth", F.coalesce("snippet", F.lit("")).alias("s"))))
+    return top.groupBy("message_id").agg(F.count("*").alias("n"), F.array_join(F.transform(parts, lambda x: x["s"]), "\n---\n").alias("snippets"))
+
+
+def similarity_scores(sources: DataFrame) -> DataFrame:
+    """(message_id, top, mean, sources): how similar an answer's sources are."""
+    return sources.groupBy("message_id").agg(F.max("similarity").alias("top"), F.round(F.avg("similarity"), 6).alias("mean"), F.count("*").alias("sources"))
+
+
+def width_check(rows: DataFrame, vector: str, width: int) -> DataFrame:
+    """(state, n): vectors that are missing, of another width, or fit."""
+    state = F.when(F.col(vector).isNull(), "missing").when(F.size(vector) != width, "mismatch").otherwise("ok")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"))

@@ -664,3 +664,54 @@ def crawl_levels(spark, d):
     edges = C.citation_edges(read(spark, d, "answer_sources"))
     seeds = edges.agg(F.min("src").alias("url")).where("url is not null")
     return C.crawl_levels(edges, seeds, SETTINGS.max_depth, None)
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY similarity DESC NULLS LAST, source_id) AS nth FROM answer_sources)
+SELECT message_id, count(*) AS n, string_agg(coalesce(snippet, ''), chr(10) || '---' || chr(10) ORDER BY nth) AS snippets FROM t WHERE nth <= 5 GROUP BY 1""")
+def judged_sources(spark, d):
+    return E.judged_sources(read(spark, d, "answer_sources"))
+
+
+@query("SELECT message_id, max(similarity) AS top, round(avg(similarity), 6) AS mean, count(*) AS sources FROM answer_sources GROUP BY 1")
+def similarity_scores(spark, d):
+    return E.similarity_scores(read(spark, d, "answer_sources"))
+
+
+@query("SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'mismatch' ELSE 'ok' END AS state, count(*) AS n FROM sama_nora_chunks GROUP BY 1")
+def width_check(spark, d):
+    return E.width_check(read(spark, d, "sama_nora_chunks").select("embedding"), "embedding", 64)
+
+
+@query(f"WITH {SITE} SELECT split_part(link, '/', 3) AS site, count(DISTINCT link) AS links FROM l GROUP BY 1")
+def site_groups(spark, d):
+    found = C.page_links(_site(spark, d)).select(U.authority(F.col("link")).alias("site"), "link").distinct()
+    return found.groupBy("site").agg(F.count("*").alias("links"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'not found in the documents|does not contain a clear answer|unable to answer|لا تتوفر إجابة') THEN 1 ELSE 0 END AS hit FROM documents WHERE text IS NOT NULL")
+def not_found_flags(spark, d):
+    return _pages(spark, d).select("doc_id", T.says_not_found(F.col("text"), SETTINGS).cast("int").alias("hit"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT document_name) AS names, min(page_no) AS first, max(page_no) AS last FROM documents WHERE source = 'csb' AND page_no >= 100")
+def filtered_count(spark, d):
+    chosen = read(spark, d, "documents").where("source = 'csb' and page_no >= 100")
+    return chosen.agg(F.count("*").alias("n"), F.countDistinct("document_name").alias("names"), F.min("page_no").alias("first"), F.max("page_no").alias("last"))
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens, lower(regexp_replace(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g')), '[?.!]+$', '')) IS NOT NULL AS ok FROM documents WHERE text IS NOT NULL")
+def sql_functions(spark, d):
+    from docspark.functions.registry import register
+
+    register(spark)
+    return _pages(spark, d).selectExpr("doc_id", "approx_tokens(text) AS tokens", "normalize_question(text) IS NOT NULL AS ok")
+
+
+@query("SELECT item_id, question || ' | ' || category AS expanded FROM eval_items")
+def rules_table(spark, d):
+    """Each question expanded by rules of a table: here one rule a category, whose key is the question's first word."""
+    items = read(spark, d, "eval_items")
+    first = F.regexp_extract("question", "([\\p{L}\\p{N}_]+)", 1)
+    rules = items.select(F.col("item_id").alias("ord"), F.col("question").alias("key"), F.concat(F.lit("| "), "category").alias("expansion"))
+    expanded = G.expand_by_table(items.select(F.col("item_id").alias("id"), "question"), rules.where(F.length(first) > 0))
+    return expanded.select(F.col("id").alias("item_id"), "expanded")

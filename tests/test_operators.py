@@ -189,3 +189,21 @@ def test_streams(spark, tmp_path):
     assert ring.count() == 20
     hits = {r.user_id: (r.hits, r.requests) for r in ST.run_once(ST.hit_counts(stream), "hits", str(tmp_path / "c3"), "complete").collect()}
     assert hits == {0: (4, 10), 1: (3, 10)}
+
+
+def test_command_line(spark, tmp_path):
+    from docspark.cli import ingest
+
+    text = "The bank shall keep the records of its customers for ten years. " * 3
+    spark.createDataFrame([("A", 1, text), ("B", 1, text), (None, 1, text)], "document_name string, page int, text string").write.parquet(str(tmp_path / "p"))
+    args = spark, str(tmp_path / "p"), str(tmp_path / "c")
+    assert ingest(*args, validate_only=True).count() == 2 and ingest(*args, dry_run=True).count() == 2
+    assert rows(ingest(*args)) == [("A", 1), ("B", 1)] and ingest(*args).count() == 0
+
+
+def test_sql_functions(spark):
+    from docspark.functions.registry import register
+
+    register(spark)
+    got = spark.sql("select is_pdf_url('http://a/B.PDF?x'), approx_tokens('abcdefgh'), page_language('نص عربي'), normalize_question(' What  is IT?! '), sentence_count('First sentence. Second one here!')").first()
+    assert tuple(got) == (True, 2, "ar", "what is it", 2)

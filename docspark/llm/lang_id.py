@@ -197,14 +197,22 @@ def passages(text: str, filters: Filters, look: dict[int, str]) -> list[tuple[st
     return [(lang, filters.decide(words)[1] if lang else 0.0, size, words) for lang, size, words in out]
 
 
+def least_hashes(rows: DataFrame, text_col: str, sample: int) -> DataFrame:
+    """At most ``sample`` rows of different texts, those with the least hashes. Only a range of hashes that holds about
+    three times as many is looked at, so that what is sorted has a bound as well, however large the table or a group of
+    copies."""
+    n = rows.count()
+    share = min(1.0, 3 * sample / max(n, 1))
+    marked = rows.withColumn("__h", F.xxhash64(text_col))
+    if share < 1:
+        marked = marked.where(F.col("__h") < int(-(2**63) + share * 2**64))
+    return marked.dropDuplicates(["__h"]).orderBy("__h").limit(sample).drop("__h")
+
+
 def fit_filters(labelled: DataFrame, text_col: str, language_col: str, sample: int = 3_000) -> tuple[Filters, dict[int, str]]:
     """On at most ``sample`` rows of ``labelled``, whose language is one of LANGUAGES; the least hashes of the texts."""
-    some = (
-        labelled.where(F.col(language_col).isin(*LANGUAGES) & (F.length(text_col) > 0))
-        .select(F.col(language_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-        .orderBy("h")
-        .limit(sample)
-    )
+    texts = labelled.where(F.col(language_col).isin(*LANGUAGES) & (F.length(text_col) > 0)).select(F.col(language_col).alias("l"), F.col(text_col).alias("t"))
+    some = least_hashes(texts, "t", sample)
     look = look_table()
     return fit([(r.l, r.t) for r in some.collect()], look), look
 

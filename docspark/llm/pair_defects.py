@@ -179,12 +179,12 @@ def exchanges(messages: DataFrame) -> DataFrame:
     return messages.where("message_id is not null").groupBy("message_id").agg(F.min(says("user_message")).alias("question"), F.min(says("assistant_message")).alias("reply"))
 
 
-def frequent_words(replies: DataFrame, share: float = 0.002, most: int = 100_000) -> list[str]:
+def frequent_words(replies: DataFrame, share: float = 0.002) -> list[str]:
     """The words in at least ``share`` of the replies, which bounds how many there can be."""
     low = F.array_distinct(F.regexp_extract_all(F.lower("reply"), F.lit("([\\p{L}]+)"), 1))
     n = replies.count()
     words = replies.select(F.explode(low).alias("w")).groupBy("w").count().where(F.col("count") >= max(3.0, share * n))
-    return [r.w for r in words.orderBy(F.col("count").desc(), "w").limit(most).collect()]
+    return sorted(r.w for r in words.collect())
 
 
 def defects(messages: DataFrame, filters: Filters, look: dict[int, str]) -> DataFrame:

@@ -39,7 +39,7 @@ def canned(question: Column, keyword: str, markers: tuple[str, ...] = ("what is"
     return F.contains(low, F.lit(keyword)) & ((low == keyword) | low.rlike("|".join(f"\\Q{m}\\E" for m in markers)))
 
 
-def method(question: Column, cached: Column, candidates: Column, top_similarity: Column, keyword: str = "nora", settings: Settings = Settings()) -> Column:
+def method(question: Column, cached: Column, candidates: Column, top_similarity: Column, keyword: str = "reporting portal", settings: Settings = Settings()) -> Column:
     """The first that holds: none, canned, out of scope, cached, not found (no candidate, or too far), generative."""
     return (
         F.when(question.isNull() | (strip(question) == ""), "none")

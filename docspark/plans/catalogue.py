@@ -349,7 +349,7 @@ def canned_guard(spark, d):
 
 
 @query(f"""WITH {QS}, s AS (SELECT message_id, count(*) AS n, max(similarity) AS top FROM answer_sources GROUP BY 1)
-SELECT message_id, CASE WHEN question IS NULL OR {STRIP('question')} = '' THEN 'none' WHEN contains(lower(trim(question)), 'nora') AND (lower(trim(question)) = 'nora' OR regexp_matches(lower(trim(question)), 'what is|define|ما هو|ما هي')) THEN 'canned'
+SELECT message_id, CASE WHEN question IS NULL OR {STRIP('question')} = '' THEN 'none' WHEN contains(lower(trim(question)), 'reporting portal') AND (lower(trim(question)) = 'reporting portal' OR regexp_matches(lower(trim(question)), 'what is|define|ما هو|ما هي')) THEN 'canned'
  WHEN regexp_matches(lower(question), '(^|{EDGE})(weather|recipes?|football|whistleblowing|جدول الرسوم)($|{EDGE})') THEN 'out_of_scope'
  WHEN coalesce(n, 0) = 0 THEN 'not_found' WHEN top < 0.72 THEN 'not_found' ELSE 'generative' END AS method FROM q LEFT JOIN s USING (message_id)""")
 def method_lattice(spark, d):

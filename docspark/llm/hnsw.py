@@ -246,7 +246,7 @@ _OUT = (
 
 def neighbours(
     rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 3, reach: float = 0.1,
-    shard_size: int = 2_048, sample: int = 50_000, ef: int = 32, m: int = 12,
+    shard_size: int = 2_048, sample: int = 50_000, ef: int = 32, m: int = 16,
 ) -> DataFrame:
     """(id, neighbour, similarity): of each usable row the ``k`` rows with the most similar vectors, not itself."""
     v = F.col("v")
@@ -353,7 +353,7 @@ def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[i
         rids, v = rows.column(2).to_pylist(), _matrix(rows.column(6), width)
         r = np.arange(first, first + len(v))
         exact, place = unit(v), _places(rids)
-        graph = Graph(exact, m, ef)
+        graph = Graph(exact, m, ef + 8)
         near, sims = _ranked(exact, graph.search(exact, ef), exact, r, place, r, k)
         lists = _lists(near, sims)
         yield batch(len(r), r=r, near=lists[0], sim=lists[1], rid=rows.column(2), many=rows.column(3), h1=rows.column(4), h2=rows.column(5))

@@ -505,20 +505,20 @@ def conversation_list(spark, d):
     return S.conversation_list(read(spark, d, "session_messages"))
 
 
-@query("SELECT session_id, max(timestamp) AS last_message, count(*) AS messages FROM session_messages WHERE session_id IS NOT NULL GROUP BY 1")
+@query("SELECT session_id, epoch_us(max(timestamp)) AS last_message, count(*) AS messages FROM session_messages WHERE session_id IS NOT NULL GROUP BY 1")
 def conversation_totals(spark, d):
-    return S.conversation_list(read(spark, d, "session_messages"), None).drop("title")
+    return S.conversation_list(read(spark, d, "session_messages"), None).drop("title").withColumn("last_message", F.unix_micros("last_message"))
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp ASC NULLS LAST, message_id, user_message ASC NULLS FIRST, assistant_message ASC NULLS FIRST) AS nth FROM session_messages WHERE session_id IS NOT NULL)
-SELECT session_id, nth::INT AS nth, message_id, timestamp FROM o WHERE nth <= 20""")
+SELECT session_id, nth::INT AS nth, message_id, epoch_us(timestamp) AS timestamp FROM o WHERE nth <= 20""")
 def session_messages(spark, d):
-    return S.session_page(read(spark, d, "session_messages"))
+    return S.session_page(read(spark, d, "session_messages")).withColumn("timestamp", F.unix_micros("timestamp"))
 
 
-@query("SELECT message_id || '_user' AS id, 'user' AS role, user_message AS content, timestamp FROM session_messages WHERE user_message IS NOT NULL UNION ALL SELECT message_id, 'assistant', assistant_message, timestamp FROM session_messages WHERE assistant_message IS NOT NULL")
+@query("SELECT message_id || '_user' AS id, 'user' AS role, user_message AS content, epoch_us(timestamp) AS timestamp FROM session_messages WHERE user_message IS NOT NULL UNION ALL SELECT message_id, 'assistant', assistant_message, epoch_us(timestamp) FROM session_messages WHERE assistant_message IS NOT NULL")
 def message_explode(spark, d):
-    return S.message_explode(read(spark, d, "session_messages"))
+    return S.message_explode(read(spark, d, "session_messages")).withColumn("timestamp", F.unix_micros("timestamp"))
 
 
 SIX = """x AS (SELECT session_id, message_id, min(timestamp) AS ts, min(user_message) AS q FROM session_messages WHERE session_id IS NOT NULL GROUP BY 1, 2),

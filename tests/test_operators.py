@@ -83,6 +83,17 @@ def test_keyword_and_hybrid(spark):
     assert [r.id for r in best.orderBy("final_rank").collect()] == [1, 2]
 
 
+def test_hybrid_takes_every_query(spark, tmp_path):
+    from docspark.plans import catalogue
+
+    spark.createDataFrame([(i, [1.0, 0.0] if i == 300 else [0.6, 0.8]) for i in (0, 1, 300, 1900)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(300, "Fee schedule?")], "item_id bigint, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(7, "the fee schedule"), (1, "fee")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.hybrid_merge(spark, str(tmp_path))
+    assert {(r.query_id, r.source): r.n for r in got.groupBy("query_id", "source").agg(F.count("*").alias("n")).collect()} == {(0, 0): 4, (300, 0): 4, (300, 1): 1, (1900, 0): 4}
+    assert {r.query_id for r in catalogue.confidence_guard(spark, str(tmp_path)).collect()} == {0, 300, 1900}
+
+
 @pytest.mark.parametrize("mode,entry", [("best", 2), ("first", 1)])
 def test_cache(spark, mode, entry):
     e = spark.createDataFrame([(1, [0.96, 0.28], "a"), (2, [1.0, 0.0], "b"), (3, [0.0, 1.0], "c")], "entry_id bigint, embedding array<float>, result string")

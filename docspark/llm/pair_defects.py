@@ -4,7 +4,8 @@ Refusals are sentences of small grammars (:data:`REFUSALS`) with nothing beside
 found by greedy string tiling of the reply with the question's words. Languages come from the n-gram filters. Truncation: a
 pushdown parser reads fences, brackets, quotations, list items and tags; what it leaves open is truncated. A reply without
 a final mark is judged by how its last words go on elsewhere: of all replies, it is counted how often the same words end a
-sentence and how often they continue; the counts are joined on the words.
+sentence and how often they continue; the counts are joined on the words. A short reply as a whole is finished by the share
+of other texts that stop with its form among those and the longer ones that begin with it; copies of a text count once.
 
 Defined results: exchanges whose question has no letter or digit give no row; a null reply counts as empty; the rows of an
 exchange are put together by the least text of each side; repeated rows count once; empty tables give no rows.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -160,11 +162,21 @@ def normal_words(text: str, vocabulary: set[str]) -> list[str]:
 
 
 def _whole(text: str, vocabulary: set[str]) -> str | None:
-    """A short reply as a whole: the same one again and again is a finished phrase."""
+    """A short reply as a whole."""
     w = normal_words(text, vocabulary) if len(text) <= 120 else []
     return "^ " + " ".join(w) if 0 < len(w) <= 10 else None
 
 
+def _beginnings(text: str, vocabulary: set[str]) -> list[str]:
+    """The forms of short replies as which the text begins before it goes on."""
+    w = normal_words(text[:160], vocabulary)
+    return ["^ " + " ".join(w[:n]) for n in range(1, min(len(w), 11))]
+
+
+def _mark(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def open_end(reply: str) -> tuple[str, bool]:
     """The reply without citation marks and blanks at its end; whether it stops without a final mark."""
     text = _MARKS.sub("", reply).rstrip()
@@ -232,31 +244,41 @@ def defects(messages: DataFrame, filters: Filters, look: dict[int, str]) -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, look, vocabulary, _ = shared.value
         for batch in batches:
+            # Keys are words, and forms with the text they stand in.
             ends, goes, stops = Counter(), Counter(), Counter()
             for reply in batch.column(0).to_pylist():
                 text, open_ = open_end(fold(reply, look))
+                mark = _mark(text)
                 if open_ and (whole := _whole(text, vocabulary)):
-                    stops[whole] += 1
+                    stops[whole, mark] = 1
+                for form in _beginnings(text, vocabulary):
+                    goes[form, mark] = 1
                 sentences = [s for s in _SENTENCES.split(text) if WORD.search(s)]
                 for j, s in enumerate(sentences):
                     w = normal_words(s, vocabulary)
                     done = stops if open_ and j == len(sentences) - 1 else ends
                     for size in (2, 3):
                         for x in range(size, len(w)):
-                            goes[" ".join(w[x - size : x])] += 1
+                            goes[" ".join(w[x - size : x]), None] += 1
                         if len(w) >= size:
-                            done[" ".join(w[-size:])] += 1
+                            done[" ".join(w[-size:]), None] += 1
             keys = list(ends.keys() | goes.keys() | stops.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (ends, goes, stops))], names=["key", "ends", "goes", "stops"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (ends, goes, stops))],
+                names=["key", "text", "ends", "goes", "stops"],
+            )
 
     judged = written(full.select("message_id", "question", "reply").mapInArrow(judge, "message_id string, defect string, k9 string, k3 string, k2 string"), "judged")
-    counts = full.select("reply").mapInArrow(count, "key string, ends long, goes long, stops long")
+    counts = full.select("reply").mapInArrow(count, "key string, text long, ends long, goes long, stops long")
     open_ = judged.where("defect = '?'").select("message_id", F.explode(F.array(*[F.struct(F.lit(size).alias("size"), F.col(f"k{size}").alias("key")) for size in (9, 3, 2)])).alias("x"))
     open_ = open_.select("message_id", "x.size", "x.key")
     wanted = open_.select("key").where("key is not null").distinct()
-    known = counts.join(wanted, "key", "left_semi").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"), F.sum("stops").alias("stops"))
-    finished = (F.col("size") == 9) | ((F.col("ends") > 0) & (F.col("ends") >= 0.05 * (F.col("ends") + F.col("goes"))))
-    seen = (F.col("size") == 2) | ((F.col("size") == 9) & (F.col("stops") >= 3)) | ((F.col("size") == 3) & (F.col("ends") + F.col("goes") + F.col("stops") >= 5))
+    sums = lambda one: [F.sum(F.when(F.col("text").isNotNull(), F.least(c, F.lit(1))).otherwise(F.col(c)) if one else F.col(c)).alias(c) for c in ("ends", "goes", "stops")]
+    known = counts.join(wanted, "key", "left_semi").groupBy("key", "text").agg(*sums(False)).groupBy("key").agg(*sums(True))
+    # Of a form, what other texts show; where a tenth of them is less than one and none stops, its last words decide.
+    others = F.col("stops") - 1
+    finished = F.when(F.col("size") == 9, others >= 0.1 * (others + F.col("goes"))).otherwise((F.col("ends") > 0) & (F.col("ends") >= 0.05 * (F.col("ends") + F.col("goes"))))
+    seen = (F.col("size") == 2) | ((F.col("size") == 9) & ((others > 0) | (0.1 * F.col("goes") >= 1))) | ((F.col("size") == 3) & (F.col("ends") + F.col("goes") + F.col("stops") >= 5))
     votes = open_.join(known, "key").where(seen).groupBy("message_id").agg(F.max_by(finished, "size").alias("finished"))
     cut = judged.where("defect = '?'").select("message_id").join(votes, "message_id", "left").where("not coalesce(finished, false)")
     sure = judged.where("defect <> '?'").select("message_id", "defect")

@@ -139,6 +139,17 @@ def test_defects(spark, language_filters):
     assert pair_defects.defects(m.limit(0), filters, look).count() == 0
 
 
+def test_short_replies_are_judged_by_share(spark, language_filters):
+    filters, look = language_filters
+    ask, at = "what must the bank keep for the customer?", "2025-01-01 00:00:00"
+    long = [(f"l{i}", "s", ask, f"In case the customer is {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10] * 3}, the bank shall keep all records {i}.", at) for i in range(100)]
+    cut = [(f"c{i}", "s", ask, f"In case the customer is {x}", at) for i, x in enumerate(("uvu", "vwv", "wxw"))]
+    copies = [(f"k{i}", "s", ask, "The bank must submit the report to", at) for i in range(3)]
+    whole = [(f"w{i}", "s", ask, f"Within {i} years of the report", at) for i in range(9)]
+    got = dict(rows(pair_defects.defects(_messages(spark, long + cut + copies + whole), filters, look)))
+    assert got == dict.fromkeys(("c0", "c1", "c2", "k0", "k1", "k2"), "truncated")
+
+
 # 4
 
 

@@ -30,7 +30,7 @@ LOOK_ALIKES = {
     "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "І": "I", "Ѕ": "S", "Ԍ": "G",
     "Ԛ": "Q", "Ԝ": "W", "Ӏ": "l", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j",
     "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l", "օ": "o", "Օ": "O", "հ": "h", "ո": "n", "ս": "u",
-    "ɑ": "a", "ɡ": "g", "ꓲ": "I", "ک": "ك", "ی": "ى", "ہ": "ه", "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨",
+    "ɑ": "a", "ɡ": "g", "ꓲ": "I", "ک": "ك", "ی": "ي", "ہ": "ه", "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨",
     "۹": "٩", "‐": "-", "‑": "-", "ʼ": "'",
 }
 _FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")

@@ -248,6 +248,18 @@ def test_forms(spark):
     assert visual_form.with_form(again, "t").where("form <> t").count() == 0
 
 
+def test_look_alikes_in_context(spark):
+    """Each letter with a look-alike, alone and at the beginning, in the middle and at the end of words."""
+    around = [("", ""), ("x", ""), ("", "x"), ("x", "x"), ("ب", "ب"), ("", "\u0654"), ("a ", " b"), ("\n", "\n")]
+    data = [(f"{a}{c}{b}", f"{a}{d}{b}") for c, d in visual_form.LOOK_ALIKES.items() for a, b in around]
+    df = spark.createDataFrame(data, "t string, u string")
+    made = visual_form.with_form(visual_form.with_form(df, "t", "f"), "u", "g").collect()
+    assert len(made) == len(data) and all(r.f == r.g for r in made)
+    # The Farsi and the Arabic yeh look the same within a word and before hamza; a dotless one looks different.
+    yeh = visual_form.with_form(spark.createDataFrame([("عرب\u06cc",), ("عربي",), ("عربى",)], "t string"), "t", "f").collect()
+    assert len({r.f for r in yeh}) == 2 and len({r.f for r in yeh if not r.t.endswith("ى")}) == 1
+
+
 def test_look_alike_pairs(spark):
     data = [("k", "1", "Café"), ("k", "2", "Café"), ("k", "3", "Сafé"), ("k", "4", "CAFÉ"), ("k", "5", "Café"), ("m", "6", "Caf​é"), ("k", "7", None), ("k", "8", "..."), ("k", "9", "…​.."), ("k", "a", "Cafe"), ("k", "2", "Café")]
     got = rows(visual_form.look_alike_pairs(spark.createDataFrame(data, "item_kind string, item_key string, text string")))

@@ -1,10 +1,11 @@
 """One form for texts that look the same.
 
-Texts made of characters that are their own form (:data:`PLAIN`, checked by one regular expression) are done. The others
-are exploded to positioned code points; a broadcast table of code points gives each one's decomposition, with look-alike
-letters, wide and positional forms, ligatures and spaces mapped and invisible characters dropped; marks are ordered by
-combining class within their cluster; clusters are recomposed by a second table; the text is rebuilt in order. Both tables
-are derived from the Unicode database, so their sizes are fixed.
+Texts made of characters that are their own form (:data:`PLAIN`, checked by one regular expression) are done. Of the
+others the distinct words with other characters are exploded to positioned code points; a broadcast table of code points
+gives each one's decomposition, with look-alike letters, wide and positional forms, ligatures and spaces mapped and
+invisible characters dropped; marks are ordered by combining class within their cluster; clusters are recomposed by a
+second table; words and texts are rebuilt in order. Both tables are derived from the Unicode database, so their sizes are
+fixed.
 
 What looks different stays different: case, accents, superscripts, line breaks against spaces, the number of spaces.
 
@@ -36,6 +37,8 @@ LOOK_ALIKES = {
 _FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 #: A regular expression class of characters that are their own form wherever they stand between each other.
 PLAIN = "\\x20-\\x7E\\nÀ-ÖØ-öø-ÿ¡£§«°»¿€–—‘’“”…•،؛؟ء-غف-ي٠-٩"
+# A word, from its beginning on, with a character beyond these.
+_SLOW = f"(?<![^ \\n])[{PLAIN}&&[^ \\n]]*+[^{PLAIN}][^ \\n]*+"
 
 
 def _dropped(c: str) -> bool:
@@ -114,13 +117,19 @@ def forms(texts: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def with_form(df: DataFrame, text_col: str, out: str = "form") -> DataFrame:
-    """``df`` with the column ``out``, the form of ``text_col``. Each distinct text is worked on once."""
-    key, new = "__form_key", "__form"
+    """``df`` with the column ``out``, the form of ``text_col``. Words are what stands between blanks and line ends, which
+    no cluster crosses; each distinct word that needs it is worked on once, and put back into the texts by its place."""
+    key, word = "__form_key", "__form_word"
     marked = df.withColumn(key, F.when(needs_work(F.col(text_col)), F.md5(text_col)))
-    slow = marked.where(F.col(key).isNotNull()).select(key, F.col(text_col).alias("__text")).dropDuplicates([key])
-    done = forms(slow, key, "__text").withColumnRenamed("form", new)
-    # A text of nothing but invisible characters has no points left.
-    worked = marked.where(F.col(key).isNotNull()).join(done, key, "left").withColumn(out, F.coalesce(new, F.lit("")))
+    slow, places = marked.where(F.col(key).isNotNull()), F.regexp_extract_all(text_col, F.lit(_SLOW), 0)
+    placed = slow.select(key, F.posexplode(places).alias("pos", word)).distinct()
+    done = forms(placed.select(word).distinct(), word, word)
+    # A word of nothing but invisible characters has no points left.
+    placed = placed.join(done, word, "left").select(key, F.struct("pos", F.coalesce("form", F.lit("")).alias("form")).alias("x"))
+    lists = placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["form"]).alias("__forms"))
+    between = F.split(text_col, _SLOW)
+    whole = F.array_join(F.zip_with(between, "__forms", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    worked = slow.join(lists, key).withColumn(out, whole)
     plain = marked.where(F.col(key).isNull()).withColumn(out, F.col(text_col))
     columns = [*[c for c in df.columns if c != out], out]
     return plain.select(columns).unionByName(worked.select(columns))

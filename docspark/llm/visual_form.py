@@ -36,7 +36,7 @@ LOOK_ALIKES = {
 }
 _FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 #: A regular expression class of characters that are their own form wherever they stand between each other.
-PLAIN = "\\x20-\\x7E\\nÀ-ÖØ-öø-ÿ¡£§«°»¿€–—‘’“”…•،؛؟ء-غف-ي٠-٩"
+PLAIN = "\\x20-\\x7E\\nء-غف-يÀ-ÖØ-öø-ÿ¡£§«°»¿€–—‘’“”…•،؛؟٠-٩"
 # A word, from its beginning on, with a character beyond these.
 _SLOW = f"(?<![^ \\n])[{PLAIN}&&[^ \\n]]*+[^{PLAIN}][^ \\n]*+"
 
@@ -139,9 +139,12 @@ def look_alike_pairs(items: DataFrame) -> DataFrame:
     """items: (item_kind, item_key, text). (item_kind, key_a, key_b): the pairs of a kind whose texts look the same but
     aren't the same characters; only texts with a letter or digit. Items with the same text aren't paired; groups of one
     text are left out before the join."""
-    said = items.where(F.col("text").rlike("[\\p{L}\\p{N}]")).select("item_kind", "item_key", "text")
-    sides = with_form(said, "text", "form").select("item_kind", "item_key", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t"))
-    sides = written(sides, "forms")
+    said = items.where(F.col("text").rlike("[\\p{L}\\p{N}]"))
+    # One look at each text: of those that are their own form only hashes go on.
+    seen = said.select("item_kind", "item_key", F.xxhash64("text").alias("t"), F.md5("text").alias("f"), F.when(needs_work(F.col("text")), F.col("text")).alias("odd"))
+    seen = written(seen, "texts")
+    worked = with_form(seen.where("odd is not null").drop("f"), "odd", "form").select("item_kind", "item_key", "t", F.md5("form").alias("f"))
+    sides = seen.where("odd is null").select("item_kind", "item_key", "t", "f").unionByName(written(worked, "forms"))
     mixed = sides.groupBy("item_kind", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("item_kind", "f")
     kept = sides.join(mixed, ["item_kind", "f"])
     one, two = kept.alias("one"), kept.alias("two")

@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
+
+
+#: Headings of the text that a generator is given (operators.answer.prompt), and the speakers of a dialogue: a generator that
+#: begins to write them again has nothing more to say.
+PROMPT_HEADINGS = ("Conversation so far:", "Context:", "Question:", "<context>")
+ROLES = ("System", "Human", "User", "Assistant", "Note")
+#: A label of a link that consists of such words only says nothing about what it leads to.
+NAVIGATION = (
+    "a", "access", "and", "as", "attached", "attachment", "browse", "button", "click", "copy", "details", "display", "document", "download", "english", "arabic",
+    "file", "full", "get", "go", "here", "in", "info", "link", "more", "new", "on", "open", "or", "page", "pdf", "please", "press", "print", "read", "save", "see",
+    "show", "tap", "text", "the", "this", "to", "version", "view", "visit", "window", "www",
+    "ابدأ", "اضغط", "اقرأ", "التحميل", "الرابط", "الملف", "المزيد", "تحميل", "تنزيل", "رابط", "عرض", "على", "عربي", "فتح", "للتحميل", "ملف", "من", "هنا",
+)
 
 
 @dataclass(frozen=True)
@@ -29,26 +42,15 @@ class Settings:
     thresholds: tuple[float, ...] = (0.79, 0.75, 0.72, 0.70, 0.65, 0.60)
     postprocess: bool = True
     not_found: tuple[str, ...] = ("not found in the documents", "does not contain a clear answer", "unable to answer", "لا تتوفر إجابة")
-    drift: tuple[str, ...] = ("in conclusion", "where two directors disagree", "in general terms")
-    markers: tuple[str, ...] = ("Question:", "User:", "Human:", "Note:", "System:")
-    out_of_scope: tuple[str, ...] = ("\\bweather\\b", "\\brecipes?\\b", "\\bfootball\\b", "\\bwhistleblowing\\b", "\\bجدول الرسوم\\b")
-    generic_labels: tuple[str, ...] = ("download", "click here", "pdf", "view", "more", "read more", "here", "open", "تحميل", "هنا")
-    generic_patterns: tuple[str, ...] = ("^download\\b", "^click\\b", "^view\\b", "^open\\b", "\\.pdf$")
+    drift: tuple[str, ...] = ("in conclusion", "in general terms")
+    markers: tuple[str, ...] = PROMPT_HEADINGS + tuple(f"{role}:" for role in ROLES)
+    out_of_scope: tuple[str, ...] = ("\\bweather\\b", "\\brecipes?\\b", "\\bfootball\\b")
+    generic_words: tuple[str, ...] = NAVIGATION
+    generic_patterns: tuple[str, ...] = ("^\\d+\\s*(?:pages?|bytes?|[kmg]b)$", "\\.pdf$")
     skip_patterns: tuple[str, ...] = ("/login", "/search", "/contact", "\\.(jpg|png|css|js)$", "/print/")
     must_contain: tuple[str, ...] = ("rule", "circular", "law", "polic", "guid", "doc")
     max_depth: int = 3
-    rules: tuple[tuple[str, str], ...] = field(
-        default=(
-            ("AML", "anti money laundering"),
-            ("aml", "financial crime controls"),
-            ("bank", "banking institution"),
-            ("fee schedule", "table of charges"),
-            ("C+", "grade c plus"),
-            ("customer complaint records", "complaints handling register"),
-            ("البنك", "bank"),
-            ("سجل الحوادث", "incident log"),
-        )
-    )
+    rules: tuple[tuple[str, str], ...] = ()
 
 
 def from_environment(prefix: str = "DOCSPARK_") -> Settings:

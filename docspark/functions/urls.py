@@ -42,17 +42,20 @@ def resolve(base: Column, link: Column) -> Column:
     simple = F.when(link.rlike("^https?://"), link).when(
         link.rlike("^/(?!/)"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), link)
     )
-    whole = F.coalesce(simple, F.when(simple.isNull() & link.isNotNull(), _joined(base, link)))
+    # Python sees null where it has nothing to do.
+    other = simple.isNull() & link.isNotNull()
+    whole = F.coalesce(simple, _joined(F.when(other, base), F.when(other, link)))
     clean = F.regexp_replace(F.split_part(F.replace(strip(whole), F.lit(" "), F.lit("%20")), F.lit("#"), F.lit(1)), "/+$", "")
     return F.when(clean.startswith("http"), clean)
 
 
 def clean_name(label: Column, url: Column, prefix: str = "", settings: Settings = Settings()) -> Column:
-    """The label of a link, or, where it says nothing, a name from its URL."""
+    """The label of a link, or, where it says nothing (has four characters or less, only signs and digits or only words of
+    navigation), a name from its URL."""
     text = strip(F.regexp_replace(strip(F.coalesce(label, F.lit(""))), "(?i)\\s*\\(pdf,?\\s*[\\d.]+\\s*[km]b\\)\\s*$", ""))
     generic = (
         (F.length(text) <= 4)
-        | F.lower(text).isin(*settings.generic_labels)
+        | F.forall(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1), lambda w: w.isin(*settings.generic_words))
         | text.rlike("(?U)^[\\W\\d]+$")
         | text.rlike("(?i)" + alternation(settings.generic_patterns, quote=False))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.config import Settings
-from docspark.functions.text import is_arabic, snippet
+from docspark.functions.text import is_arabic, snippet, strip
 
 
 def dedup_sources(sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -39,21 +39,37 @@ def prompt(question, context_col, summary=None, settings: Settings = Settings())
     return F.concat(head, F.lit("Context:\n"), context_col, F.lit("\n\nQuestion: "), question, F.lit("\n"), how)
 
 
-def stream_events(answers: DataFrame) -> DataFrame:
-    """answers: (message_id, answer). (message_id, seq, event): a token event for each blank-separated part, whose blanks
-    come back when they are joined, and a done event, as JSON lines."""
+def stream_events(answers: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """answers: (message_id, answer), also (sources, cached, method, error) if there are such columns. (message_id, seq,
+    event) as JSON lines: a token event for each blank-separated part, whose blanks come back when they are joined; a sources
+    event, if there is such a column, with shortened snippets; a done event. An error event alone where ``error`` isn't null;
+    null answers without an error have no events."""
+    has = set(answers.columns)
     parts = F.split("answer", " ")
     n = F.size(parts)
-    token = F.transform(parts, lambda p, i: F.to_json(F.struct(F.lit("token").alias("type"), F.when(i < n - 1, F.concat(p, F.lit(" "))).otherwise(p).alias("content"))))
-    events = F.concat(token, F.array(F.to_json(F.struct(F.lit("done").alias("type"), F.col("message_id")))))
-    return answers.where("answer is not null").select("message_id", F.posexplode(events).alias("seq", "event"))
+    kind = lambda x: F.lit(x).alias("type")
+    token = F.transform(parts, lambda p, i: F.to_json(F.struct(kind("token"), F.when(i < n - 1, F.concat(p, F.lit(" "))).otherwise(p).alias("text"))))
+    tail = []
+    if "sources" in has:
+        short = F.transform("sources", lambda x: x.withField("snippet", snippet(F.coalesce(x["snippet"], F.lit("")), settings.stream_snippet_chars)))
+        also = [F.coalesce("cached", F.lit(False)).alias("cached")] if "cached" in has else []
+        also += [F.col("method")] if "method" in has else []
+        tail.append(F.to_json(F.struct(kind("sources"), F.coalesce(short, F.array()).alias("sources"), "message_id", *also)))
+    events = F.concat(token, F.array(*tail, F.to_json(F.struct(kind("done")))))
+    if "error" in has:
+        events = F.when(F.col("error").isNotNull(), F.array(F.to_json(F.struct(kind("error"), F.col("error").alias("message"))))).otherwise(events)
+    return answers.where(F.col("answer").isNotNull() | (F.col("error").isNotNull() if "error" in has else F.lit(False))).select("message_id", F.posexplode(events).alias("seq", "event"))
 
 
 def display(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """(message_id, report): the answer and its numbered sources as text."""
-    line = F.concat(F.col("nth").cast("string"), F.lit(". "), F.coalesce("document_name", F.lit("?")))
+    """answers: (message_id, question, answer). (message_id, report): question, answer and numbered sources with their pages
+    and similarity as text."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    line = F.concat(
+        F.lit("  "), F.col("nth").cast("string"), F.lit(". "), F.coalesce("document_name", F.lit("?")), F.lit(", pages "), text("page_start"), F.lit("-"), text("page_end"),
+        F.lit(", similarity "), F.coalesce(F.format_string("%.4f", F.col("similarity")), F.lit("?")),
+    )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("t")))), lambda x: x["t"])
     listed = sources.groupBy("message_id").agg(F.array_join(lines, "\n").alias("lines"))
-    return answers.join(listed, "message_id", "left").select(
-        "message_id", F.when(F.col("lines").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nSources:\n"), "lines")).alias("report")
-    )
+    report = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\nAnswer: "), strip(F.coalesce("answer", F.lit(""))), F.lit("\nSources:\n"), F.coalesce("lines", F.lit("  none")))
+    return answers.join(listed, "message_id", "left").select("message_id", report.alias("report"))

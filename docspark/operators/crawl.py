@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.urls import resolve
+from docspark.functions.urls import authority, resolve
 from docspark.session import written
 
 
@@ -34,6 +34,13 @@ def crawl_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pag
     return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 
 
+def by_site(links: DataFrame) -> DataFrame:
+    """links: (link). (site, link, nth, links): the different links of each site in order, and how many it has."""
+    found = links.distinct().withColumn("site", authority(F.col("link")))
+    numbered = found.withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy("link")))
+    return numbered.join(found.groupBy("site").agg(F.count("*").alias("links")), "site").select("site", "link", "nth", "links")
+
+
 def citation_edges(sources: DataFrame) -> DataFrame:
     """(src, dst): documents cited by one answer, each linked with the next in order of similarity."""
     order = Window.partitionBy("message_id").orderBy(F.col("similarity").desc_nulls_last(), "source_id")

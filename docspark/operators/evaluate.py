@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,34 +68,58 @@ def judge(ratio: Column) -> Column:
 
 
 def evaluation_runs(messages: DataFrame, sources: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each exchange with both texts: question, answer, category, method, top_sim, candidates, phrase_ratio,
-    matched, judge, retrieval, method_verdict, combined, bucket."""
+    """:func:`score_runs` of each exchange with both texts; all are expected to be answered."""
     one = messages.where("message_id is not null").groupBy("message_id").agg(F.min("user_message").alias("question"), F.max("assistant_message").alias("answer"))
     one = one.where("question is not null and answer is not null")
     line = F.concat(F.coalesce("snippet", F.lit("")), F.lit(" "), F.coalesce("document_name", F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("source_id", line.alias("t"))))
     cited = sources.groupBy("message_id").agg(
-        F.lower(F.array_join(F.transform(lines, lambda x: x["t"]), " ")).alias("text"), F.max("similarity").alias("top_sim"), F.count("*").alias("candidates")
+        F.array_join(F.transform(lines, lambda x: x["t"]), " ").alias("text"), F.max("similarity").alias("top_sim"), F.count("*").alias("candidates")
     )
-    none = says_not_found(F.col("answer"), settings)
     base = one.join(cited, "message_id", "left").select(
-        "message_id", "question", "answer", F.when(looks_arabic(F.col("question")), "arabic").otherwise("regulatory").alias("category"),
+        "message_id", "question", "answer", F.when(looks_arabic(F.col("question")), "arabic").otherwise("regulatory").alias("category"), F.lit("correct").alias("expected"),
         F.when(F.col("candidates").isNull(), "not_found").otherwise("generative").alias("method"), F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"),
-        F.coalesce("candidates", F.lit(0)).alias("candidates"), none.alias("not_found"),
-        F.col("text"),
-        # Generators keep what they are given from being worked out again for every use.
-        F.explode(F.array(phrases(F.col("answer")))).alias("found"),
+        F.coalesce("candidates", F.lit(0)).alias("candidates"), "text", F.lit(False).alias("timed_out"), F.lit(False).alias("errored"),
+    )
+    return score_runs(base, settings)
+
+
+def expectation(category: Column, expected: Column) -> Column:
+    """What is expected of an answer: that of its category for trick questions and those out of scope, else what is stated;
+    without a statement that it is answered."""
+    return F.when(category.isin("trick", "out_of_scope"), category).otherwise(F.coalesce(expected, F.lit("correct")))
+
+
+def pipeline_runs(run: DataFrame, items: DataFrame, settings: Settings = Settings(), limit_seconds: float = 420.0) -> DataFrame:
+    """:func:`score_runs` of the answers of pipeline.answer_run. items: (id, category, expected, elapsed): what took longer
+    than the limit timed out, a null time is an error."""
+    text = F.array_join(F.transform("sources", lambda x: F.concat(F.coalesce(x["snippet"], F.lit("")), F.lit(" "), F.coalesce(x["document_name"], F.lit("")))), " ")
+    late = F.coalesce(F.col("elapsed") > limit_seconds, F.lit(False))
+    base = run.join(items, "id").select(
+        F.col("id").alias("message_id"), "question", "answer", "category", expectation(F.col("category"), F.col("expected")).alias("expected"),
+        F.when(late, "timeout").when(F.col("elapsed").isNull(), "error").otherwise(F.col("method")).alias("method"), F.coalesce("top_similarity", F.lit(0.0)).alias("top_sim"),
+        "candidates", F.when(F.size("sources") > 0, text).alias("text"), late.alias("timed_out"), F.col("elapsed").isNull().alias("errored"),
     )
-    late = F.lit(False)
+    return score_runs(base, settings)
+
+
+def score_runs(base: DataFrame, settings: Settings = Settings(), judge_by: Callable[[Column], Column] = judge) -> DataFrame:
+    """base: (message_id, question, answer, category, expected, method, top_sim, candidates, text, timed_out, errored), text:
+    that of the sources. (..., not_found, phrase_ratio, matched, judge, retrieval, method_verdict, combined, bucket).
+    ``judge_by`` makes the judge's verdict of the share of the answer's phrases that the sources hold."""
+    base = base.withColumn("not_found", F.coalesce(says_not_found(F.col("answer"), settings), F.lit(False))).withColumn("text", F.lower("text"))
+    # Generators keep what they are given from being worked out again for every use.
+    base = base.withColumn("found", F.explode(F.array(phrases(F.coalesce("answer", F.lit(""))))))
     none_matched = F.struct(F.lit(0).alias("phrases"), F.array().cast("array<string>").alias("matched"))
     given = F.when(F.col("not_found") | F.col("text").isNull(), none_matched).otherwise(grounding(F.col("found"), F.col("text")))
     held = base.select(*[c for c in base.columns if c not in ("found", "text")], F.explode(F.array(given)).alias("g"))
     ratio = F.when(F.col("g.phrases") > 0, F.round(F.size("g.matched") / F.col("g.phrases"), 2)).otherwise(0.0)
     scored = held.withColumn("phrase_ratio", ratio).withColumn("matched", F.size("g.matched")).drop("g")
-    scored = scored.withColumn("judge", F.when(F.col("method") == "not_found", "SKIP").otherwise(judge(F.col("phrase_ratio"))))
-    scored = scored.withColumn("retrieval", retrieval_success(F.col("method"), F.col("not_found"), late, F.col("category")))
-    scored = scored.withColumn("method_verdict", method_verdict(F.lit("correct"), F.col("method"), F.col("not_found"), late))
-    scored = scored.withColumn("combined", combined_verdict(F.col("method"), F.col("not_found"), F.col("judge"), late, late))
+    answered = F.col("method").isin("generative", "cached")
+    scored = scored.withColumn("judge", F.when(~answered, "SKIP").otherwise(judge_by(F.col("phrase_ratio"))))
+    scored = scored.withColumn("retrieval", retrieval_success(F.col("method"), F.col("not_found"), F.col("timed_out"), F.col("category")))
+    scored = scored.withColumn("method_verdict", method_verdict(F.col("expected"), F.col("method"), F.col("not_found"), F.col("timed_out")))
+    scored = scored.withColumn("combined", combined_verdict(F.col("method"), F.col("not_found"), F.col("judge"), F.col("timed_out"), F.col("errored")))
     return scored.withColumn("bucket", bucket({c: F.col(c) for c in scored.columns}, settings))
 
 
@@ -122,8 +148,24 @@ def verdict_counts(runs: DataFrame) -> DataFrame:
     return runs.select(F.explode(kinds).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
 
-def failure_buckets(runs: DataFrame) -> DataFrame:
-    return runs.where("bucket is not null").groupBy("bucket", "category").agg(F.count("*").alias("n"))
+def failure_buckets(runs: DataFrame, members: int = 1_000) -> DataFrame:
+    """(bucket, category, n, first_members): how many there are, and the least ids, at most ``members``, as a report lists
+    them; all of them are the rows of ``runs``."""
+    rank = F.row_number().over(Window.partitionBy("bucket", "category").orderBy("message_id"))
+    counts = runs.where("bucket is not null").groupBy("bucket", "category").agg(F.count("*").alias("n"))
+    listed = runs.where("bucket is not null").withColumn("r", rank).where(F.col("r") <= members).groupBy("bucket", "category").agg(F.sort_array(F.collect_list("message_id")).alias("first_members"))
+    return counts.join(listed, ["bucket", "category"])
+
+
+def generator_stats(tested: DataFrame) -> DataFrame:
+    """tested: (category, elapsed, combined, timed_out, errored). One row for each category and one, null, for all: tested,
+    passed, timeouts, errors, pass rate over what was answered, mean and greatest time in seconds."""
+    done = F.count_if(~F.col("timed_out") & ~F.col("errored"))
+    passed = F.count_if(F.col("combined") == "PASS")
+    return tested.rollup("category").agg(
+        F.count("*").alias("tested"), passed.alias("passed"), F.count_if("timed_out").alias("timeouts"), F.count_if("errored").alias("errors"),
+        F.round(F.when(done > 0, passed * 100 / done), 2).alias("pass_pct"), F.round(F.avg("elapsed"), 4).alias("mean_elapsed"), F.max("elapsed").alias("max_elapsed"),
+    )
 
 
 def pass_rates(runs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -132,9 +174,13 @@ def pass_rates(runs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def run_report(runs: DataFrame) -> DataFrame:
-    """(category, report): totals as one JSON text for each category."""
+    """(kind, message_id, line) as JSON: a totals line for each category and a results line for each run, so that a report
+    of any size is a set of lines, not one value."""
     totals = runs.groupBy("category").agg(F.count("*").alias("questions"), F.count_if(F.col("combined") == "PASS").alias("passed"))
-    return totals.select("category", F.to_json(F.struct("questions", "passed")).alias("report"))
+    heads = totals.select(F.lit("totals").alias("kind"), F.lit(None).cast("string").alias("message_id"), F.to_json(F.struct("category", "questions", "passed")).alias("line"))
+    fields = ("category", "expected", "method", "method_verdict", "retrieval", "judge", "combined", "matched")
+    lines = runs.select(F.lit("result").alias("kind"), F.col("message_id").cast("string").alias("message_id"), F.to_json(F.struct(*fields)).alias("line"))
+    return heads.unionByName(lines)
 
 
 def dedup_questions(questions: DataFrame) -> DataFrame:

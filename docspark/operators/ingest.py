@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.config import Settings
 from docspark.functions.text import clean_text, page_language, section_title, strip
+from docspark.session import written
 
 _SPLIT = re.compile(r"(?<=[.!?؟\n])\s+|\n{2,}")
 
@@ -74,13 +75,17 @@ def extraction_scores(candidates: DataFrame) -> DataFrame:
     """candidates: (doc, extractor, extractor_ord, page, text). (doc, extractor, extractor_ord, chars, score): 40 for the
     share of the longest extraction, 25 for the mean share of different words of pages with ten words or more (0.3 if there
     is none), 20 for pages with paragraphs, 15 for printable characters; pages are joined by a blank."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), 1)
+    found = F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+")
+    # A generator keeps the words from being found anew for every use.
     page = candidates.where(F.length("text") > 0).select(
-        "doc", "extractor", "extractor_ord",
-        F.when(F.size(words) >= 10, F.size(F.array_distinct(words)) / F.size(words)).alias("rich"),
-        F.contains("text", F.lit("\n\n")).cast("int").alias("broken"),
-        F.length("text").alias("chars"),
-        F.length(F.regexp_replace("text", "(?!\\n|\\t| )[\\p{C}\\p{Z}]", "")).alias("printable"),
+        "doc", "extractor", "extractor_ord", "text", F.explode(F.array(found)).alias("w")
+    ).select(
+        "doc", "extractor", "extractor_ord", "text", (F.size("w") - F.array_size(F.filter("w", lambda x: x == ""))).alias("words"),
+        F.size(F.array_distinct(F.array_remove("w", ""))).alias("different"),
+    ).select(
+        "doc", "extractor", "extractor_ord", F.when(F.col("words") >= 10, F.col("different") / F.col("words")).alias("rich"),
+        F.contains("text", F.lit("\n\n")).cast("int").alias("broken"), F.length("text").alias("chars"),
+        F.length(F.regexp_replace("text", "[[\\p{C}\\p{Z}]&&[^\\n\\t ]]+", "")).alias("printable"),
     )
     total = page.groupBy("doc", "extractor", "extractor_ord").agg(
         F.coalesce(F.avg("rich"), F.lit(0.3)).alias("rich"), F.avg("broken").alias("broken"),
@@ -130,12 +135,19 @@ def ingest_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """``rows`` with their batch number in order. Numbering is done in ranges whose counts are added up, so that no task
-    sorts the whole table."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+def numbered(rows: DataFrame, order: Sequence[str | Column], out: str = "n") -> DataFrame:
+    """``rows`` numbered from 1 in order, in ranges whose counts are added up, so that no task sorts the whole table. The
+    ranges are written once: what is counted is what is numbered. Ties should be broken by ``order``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranges")
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__m").alias("__low"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = counts.select("__p", "__low", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
-    number = F.col("__m") - F.col("__low") + F.col("__base")
-    return ranged.join(F.broadcast(base), "__p").withColumn("batch", (F.floor(number / size) + 1).cast("int")).drop("__p", "__m", "__low", "__base")
+    number = F.col("__m") - F.col("__low") + F.col("__base") + 1
+    return ranged.join(F.broadcast(base), "__p").withColumn(out, number).drop("__p", "__m", "__low", "__base")
+
+
+def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """``rows`` with their batch number in order."""
+    return numbered(rows, [order], "__n").withColumn("batch", (F.floor((F.col("__n") - 1) / size) + 1).cast("int")).drop("__n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.config import Settings
 from docspark.functions.text import strip
+from docspark.operators.ingest import numbered
 
 
 def dedup_registry(registry: DataFrame) -> DataFrame:
@@ -46,18 +47,38 @@ def stats(registry: DataFrame, chunks: DataFrame, messages: DataFrame, sessions:
     return out
 
 
-def rolling_latency(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def rolling_latency(events: DataFrame, settings: Settings = Settings(), block: int = 100_000) -> DataFrame:
+    """(event_id, mean_latency): of each request the mean of the last 50, over all requests in order. They are numbered in
+    ranges and taken in blocks of ``block`` numbers, each with the last 49 of the block before, so no task has them all."""
+    n, before = F.col("n") - 1, settings.latency_window - 1
+    block = max(block, settings.latency_window)
+    rows = numbered(events.select("event_id", "ts", "value"), ["ts", "event_id"])
+    own = F.floor(n / block)
+    blocks = F.when(n % block >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select("event_id", "n", "value", F.explode(blocks).alias("block"), own.alias("own"))
+    order = Window.partitionBy("block").orderBy("n").rowsBetween(-before, 0)
+    return rows.withColumn("mean", F.avg("value").over(order)).where("block = own").select("event_id", F.round("mean", 8).alias("mean_latency"))
+
+
+def running_hits(events: DataFrame, hit: str = "view", block: int = 100_000) -> DataFrame:
+    """(event_id, hits, requests, hit_rate): running counts over all requests in order: within blocks of numbers, and over
+    the counts of the blocks."""
+    rows = numbered(events.select("event_id", "ts", (F.col("event_type") == hit).cast("int").alias("hit")), ["ts", "event_id"])
+    rows = rows.withColumn("block", F.floor((F.col("n") - 1) / block))
+    sums = rows.groupBy("block").agg(F.sum("hit").alias("h"))
+    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    base = sums.select("block", F.coalesce(F.sum("h").over(over), F.lit(0)).alias("base"))
+    order = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    hits = F.col("base") + F.coalesce(F.sum("hit").over(order), F.lit(0))
+    found = rows.join(base, "block").select("event_id", hits.alias("hits"), F.col("n").alias("requests"))
+    return found.withColumn("hit_rate", F.round(F.col("hits") * 100 / F.col("requests"), 1))
+
+
+def rolling_latency_by_user(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(user_id, event_id, mean_latency): of each request the mean of the last 50 of its user."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1 - settings.latency_window, 0)
     return events.select("user_id", "event_id", F.round(F.avg("value").over(order), 8).alias("mean_latency"))
 
 
-def running_hits(events: DataFrame, hit: str = "view") -> DataFrame:
-    """(user_id, event_id, hits, requests, hit_rate): running counts of each user's requests."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    hits, n = F.sum((F.col("event_type") == hit).cast("int")).over(order), F.count("*").over(order)
-    return events.select("user_id", "event_id", hits.alias("hits"), n.alias("requests"), F.round(hits * 100 / n, 1).alias("hit_rate"))
-
-
 def name_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 _TYPES = {
     "string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(), "timestamp": TimestampType(), "array<float>": ArrayType(FloatType()),
@@ -29,4 +29,17 @@ SOURCES = _schema(
 PAGES = _schema("document_name string, source_type string, page int, total_pages int, text string")
 CACHE = _schema("entry_id bigint, embedding array<float>, result string, stored_at timestamp")
 EVENTS = _schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
-STREAM_EVENTS = _schema("type string, content string, data string")
+STREAM_EVENTS = StructType(
+    [
+        StructField("type", StringType()),
+        StructField("text", StringType()),
+        StructField(
+            "sources",
+            ArrayType(_schema("document_name string, page_start int, page_end int, section_title string, similarity double, snippet string")),
+        ),
+        StructField("message_id", StringType()),
+        StructField("cached", BooleanType()),
+        StructField("method", StringType()),
+        StructField("message", StringType()),
+    ]
+)

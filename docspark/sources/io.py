@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docspark.schemas import STREAM_EVENTS
+from docspark.session import written
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: StructType = STREAM_EVENTS) -> DataFrame:
@@ -33,30 +35,61 @@ def export_array(rows: DataFrame, order: str) -> DataFrame:
     return rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))), lambda x: x)).alias("json"))
 
 
-def read_files(spark: SparkSession, path: str, least: int = 1_024) -> DataFrame:
+def read_files(spark: SparkSession, path: str, least: int = 2_048) -> DataFrame:
     """(path, length, content) of files larger than ``least`` bytes; smaller ones are broken downloads."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > least).select("path", "length", "content")
 
 
+def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet table at ``path``, or an empty one if there is none yet; any other error is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_new(rows: DataFrame, path: str, key: str | Sequence[str]) -> DataFrame:
     """Append the rows whose key isn't in the Parquet table at ``path``; gives what was appended. Loading again adds none."""
     keys = [key] if isinstance(key, str) else list(key)
-    spark = rows.sparkSession
-    try:
-        there = spark.read.parquet(path).select(*keys)
-    except Exception:  # noqa: BLE001  there is no table yet
-        there = spark.createDataFrame([], rows.select(*keys).schema)
-    fresh = rows.dropDuplicates(keys).join(there, keys, "left_anti").cache()
+    there = table_or_empty(rows.sparkSession, path, rows.schema).select(*keys)
+    fresh = written(rows.dropDuplicates(keys).join(there, keys, "left_anti").select(rows.columns), "fresh")
     fresh.write.mode("append").parquet(path)
     return fresh
 
 
+def append_optional(rows: DataFrame, path: str, schema: StructType, key: str | Sequence[str]) -> DataFrame:
+    """Append to a table with ``schema``: fields that ``rows`` lacks are null, other columns are left out, rows without a
+    key are refused, and what is there stays. For messages and feedback, whose callers leave out what they don't know."""
+    full = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    keys = [key] if isinstance(key, str) else list(key)
+    return append_new(full.dropna(subset=keys), path, keys)
+
+
 def store_answers(answers: DataFrame, path: str, as_of: str | None = None) -> None:
     """answers: (entry_id, embedding, result). Appended to the cache table with the time."""
     stamp = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
     answers.select(F.col("entry_id").cast("bigint"), "embedding", "result", stamp.alias("stored_at")).write.mode("append").parquet(path)
 
 
+def live_answers(entries: DataFrame, as_of: Column, ttl_seconds: int) -> DataFrame:
+    """entries: the cache table. The latest row of each entry, which refreshes it, unless its time has run out."""
+    latest = entries.groupBy("entry_id").agg(F.max_by(F.struct("embedding", "result", "stored_at"), F.struct("stored_at", "result")).alias("x"))
+    return latest.select("entry_id", "x.*").where(F.unix_timestamp("stored_at") >= F.unix_timestamp(as_of) - ttl_seconds)
+
+
+def resume(rows: DataFrame, path: str, schema: StructType, key: str) -> DataFrame:
+    """The rows that an earlier run has not put into the JSON lines at ``path``; ``schema`` is that of the lines."""
+    try:
+        done = read_jsonl(rows.sparkSession, path, schema).select(key)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows
+    return rows.join(done, key, "left_anti")
+
+
 def paged(rows: DataFrame, order: str, size: int, page: int) -> DataFrame:
     """Page ``page``, from 0, of the rows in order."""
     return rows.orderBy(order).offset(page * size).limit(size)

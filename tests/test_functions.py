@@ -58,6 +58,18 @@ def test_clean_output(spark):
     assert one(spark, T.clean_output(c, F.lit("ما هي المادة")), "A. B. C. D.") == ["A. B. C. D."]
 
 
+def test_markers_and_scripts(spark):
+    out = one(spark, T.clean_output(c, F.lit("what?")), "It is so.\n\nContext:\nsomething", "System: no", "A\t\tb。한글 ok", "User: x Question: y", None)
+    assert out == ["It is so.", "", "A b ok", "", None]
+    assert one(spark, T.clean_output(c, F.lit("what?"), Settings(markers=("STOP",), drift=())), "One. Question: two STOP three") == ["One. Question: two"]
+    assert one(spark, T.without_east_asian(c), "カタ漢ひ") == ["カタひ"]
+
+
+def test_generic_labels(spark):
+    names = [("Download PDF", "http://a/x-rule.pdf"), ("تحميل الملف", "http://a/y_rule.pdf"), ("Read the report", "http://a/z.pdf"), ("12 kb", "http://a/kk_kk.pdf"), ("--- 12", "http://a/ll.pdf")]
+    assert one(spark, U.clean_name(F.col("l"), F.col("u")), *names, names="l u") == ["x rule", "y rule", "Read the report", "kk kk", "ll.pdf"]
+
+
 def test_questions(spark):
     assert one(spark, T.normalize_question(c), "  What  IS it?! ", None) == ["what is it", ""]
     assert one(spark, T.clean_question(c), " 3) Why  so? ") == ["Why so?"]

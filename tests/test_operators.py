@@ -83,15 +83,72 @@ def test_keyword_and_hybrid(spark):
     assert [r.id for r in best.orderBy("final_rank").collect()] == [1, 2]
 
 
-def test_hybrid_takes_every_query(spark, tmp_path):
-    from docspark.plans import catalogue
-
-    spark.createDataFrame([(i, [1.0, 0.0] if i == 300 else [0.6, 0.8]) for i in (0, 1, 300, 1900)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    spark.createDataFrame([(300, "Fee schedule?")], "item_id bigint, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
-    spark.createDataFrame([(7, "the fee schedule"), (1, "fee")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = catalogue.hybrid_merge(spark, str(tmp_path))
-    assert {(r.query_id, r.source): r.n for r in got.groupBy("query_id", "source").agg(F.count("*").alias("n")).collect()} == {(0, 0): 4, (300, 0): 4, (300, 1): 1, (1900, 0): 4}
-    assert {r.query_id for r in catalogue.confidence_guard(spark, str(tmp_path)).collect()} == {0, 300, 1900}
+def test_keyword_topk_is_bm25(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(60)] + [(90, None)]
+    asked = [(1, "w1 W2 w2 w99"), (2, ""), (3, None)]
+    got = rows(R.keyword_topk(spark.createDataFrame(asked, "q bigint, t string"), spark.createDataFrame(docs, "id bigint, t string"), 5).select("query_id", "id", "score", "rank"))
+    texts = {i: t.split() for i, t in docs if t is not None}
+    mean = sum(map(len, texts.values())) / len(texts)
+    score = {}
+    for i, w in texts.items():
+        for t in ("w1", "w2"):
+            if tf := w.count(t):
+                df = sum(t in x for x in texts.values())
+                score[i] = score.get(i, 0) + np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    want = sorted(score, key=lambda i: (-round(score[i], 4), i))[:5]
+    assert [r[1] for r in sorted(got, key=lambda r: r[3])] == want and {r[0] for r in got} == {1}
+
+
+def test_string_ids(spark):
+    data = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), (None, [1.0, 0.0]), ("d", None)]
+    df = spark.createDataFrame(data, "id string, v array<double>")
+    assert rows(R.vector_topk(df.where("id = 'c' or id = 'a'"), df, 1).select("query_id", "id")) == [("a", "a"), ("c", "c")]
+    assert rows(R.vector_topk(df.where("id = 'b'"), df, 2, floor=0.5).select("id", "rank")) == [("a", 1), ("b", 2)]
+
+
+def test_rerank_by_a_model(spark):
+    from docspark.models import judged, pair_scorer, text_model
+
+    c = spark.createDataFrame([(1, 10, 0.9, 0, 1), (1, 11, 0.8, 0, 2)], "query_id int, id int, similarity double, source int, place int")
+    q, d = spark.createDataFrame([(1, "x")], "i int, q string"), spark.createDataFrame([(10, "a"), (11, "bbb")], "i int, t string")
+    assert [r.id for r in R.rerank(c, q, d, 1, scorer=pair_scorer(lambda a, b: [float(len(x)) for x in b])).collect()] == [11]
+    said = spark.createDataFrame([("a",), (None,)], "p string").select(text_model(lambda p: [x and x + "!" for x in p])(F.col("p")))
+    assert [r[0] for r in said.collect()] == ["a!", None]
+    verdict, reason = judged(F.col("p"))
+    got = spark.createDataFrame([("GROUNDED: all there",), ("maybe",), (None,)], "p string").select(verdict, reason)
+    assert [tuple(r) for r in got.collect()] == [("GROUNDED", "all there"), ("UNKNOWN", ""), ("ERROR", "")]
+
+
+def test_answer_run(spark):
+    from docspark.operators.pipeline import answer_run, cacheable
+
+    s = Settings(rules=(("aml", "money laundering"),), out_of_scope=("\\bweather\\b",), low_confidence=0.5)
+    chunks = embed(spark.createDataFrame(
+        [("a", "D", 1, 2, "T", "Money laundering reports go to the unit. They are due in May."), ("b", "D", 1, 2, "T", "Money reports."), ("c", None, None, None, None, None)],
+        "id string, document_name string, page_start int, page_end int, section_title string, content string"), "content", kind="array<double>")
+    asked = [(1, "aml reports?"), (2, "The weather today"), (3, " "), (4, None), (5, "reporting portal"), (6, "zzz qqq"), (7, "What is due?")]
+    q = spark.createDataFrame(asked, "id int, question string")
+    old = spark.createDataFrame([(7, "What is due?", "old answer")], "entry_id bigint, t string, result string")
+    run = answer_run(q, chunks, embed(old, "t", prefix="query: ", kind="array<double>"), settings=s)
+    got = {r.id: r for r in run.collect()}
+    assert {i: r.method for i, r in got.items()} == {1: "generative", 2: "out_of_scope", 3: "none", 4: "none", 5: "generative", 6: "not_found", 7: "cached"}
+    assert got[7].answer == "old answer" and got[7].cached and got[1].answer.startswith("Money laundering reports") and [x.document_name for x in got[1].sources] == ["D"]
+    assert got[5].sources == [] and cacheable(run, s).count() == 1
+    assert answer_run(q.limit(0), chunks.limit(0), settings=s).count() == 0
+
+
+def test_running_figures(spark):
+    rng = random.Random(4)
+    data = [(i, f"2025-01-01 00:{i // 60:02}:{i % 60:02}", i % 3, rng.choice(["view", "buy"]), rng.choice([None, 1.0, 2.5, 7.0])) for i in range(230)]
+    df = spark.createDataFrame(data, "event_id bigint, t string, user_id bigint, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
+    values = [r[4] for r in data]
+    means = [np.mean([v for v in values[max(0, i - 9) : i + 1] if v is not None] or [np.nan]) for i in range(230)]
+    got = rows(L.rolling_latency(df, Settings(latency_window=10), 16))
+    assert len(got) == 230 and all(abs((g if g is not None else np.nan) - m) < 1e-6 or g is None and np.isnan(m) for (_, g), m in zip(got, means))
+    hits = np.cumsum([r[3] == "view" for r in data])
+    assert [r[:3] for r in rows(L.running_hits(df, block=7))] == [(i, h, i + 1) for i, h in enumerate(hits)]
 
 
 @pytest.mark.parametrize("mode,entry", [("best", 2), ("first", 1)])
@@ -107,7 +164,7 @@ def test_stream_tokens_rejoin(spark, tmp_path):
     events = A.stream_events(df.select(F.col("message_id").cast("string"), "answer"))
     for i, t in enumerate(texts):
         got = [json.loads(r.event) for r in events.where(f"message_id = '{i}'").orderBy("seq").collect()]
-        assert "".join(e.get("content", "") for e in got) == (t or "")
+        assert "".join(e.get("text", "") for e in got) == (t or "")
     io.write_ndjson(events, str(tmp_path / "e"), "event")
     spark.createDataFrame([("{bad",), ("",)], "value string").write.mode("append").text(str(tmp_path / "e"))
     assert io.read_ndjson(spark, str(tmp_path / "e")).count() == events.count()
@@ -171,11 +228,18 @@ def test_verdicts(spark):
 
 
 def test_rules_table(spark):
-    from docspark.operators.guards import expand_by_table
+    from docspark.operators.guards import expand, expand_by_table
 
-    q = spark.createDataFrame([(1, "what of AML at the bank"), (2, "other")], "id bigint, question string")
-    r = spark.createDataFrame([(2, "bank", "B"), (1, "aml", "A"), (3, "zzz", "Z")], "ord int, key string, expansion string")
-    assert rows(expand_by_table(q, r)) == [(1, "what of AML at the bank A B"), (2, "other")]
+    q = [(1, "what of AML at the bank"), (2, "other"), (3, None), (4, "see subcustomer complaint recordset"), (5, "a++b and c+x, or\\E"), (6, "xxmethodologicallyyy"), (7, "a " * 500)]
+    r = [(2, "bank", "B"), (1, "aml", "A"), (3, "zzz", "Z"), (4, "customer complaint records", "L"), (5, "++", "P"), (6, "C+", "C"), (7, "", "E"), (8, None, "N"), (9, "methodologicallyyyyyyy", "no"),
+         (10, "xxmethodologicallyyy", "M"), (11, "?!?!?!?!?!?!?!?!?!?!?!", "no"), (12, "xmethodologicallyyy,,", "no"), (13, "x, or\\E", "Q")]
+    got = dict(expand_by_table(spark.createDataFrame(q, "id bigint, question string"), spark.createDataFrame(r, "ord int, key string, expansion string")).collect())
+    settings = Settings(rules=tuple((k, x) for _, k, x in sorted(r, key=lambda x: x[0]) if k and "\\E" not in k))
+    plain = dict(spark.createDataFrame(q, "id bigint, question string").select("id", expand(F.col("question"), settings)).collect())
+    assert got[3] is None and got[4].endswith("recordset L") and got[1].endswith("bank A B") and got[6].endswith(" M") and got[5].endswith("or\\E P C Q")
+    assert all(got[i] == plain[i] for i in (1, 2, 4, 6, 7))
+    none = spark.createDataFrame([], "ord int, key string, expansion string")
+    assert expand_by_table(spark.createDataFrame(q, "id bigint, question string"), none).count() == 7
 
 
 def test_embedder(spark):
@@ -202,14 +266,74 @@ def test_streams(spark, tmp_path):
     assert hits == {0: (4, 10), 1: (3, 10)}
 
 
+def test_entries_expire(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+
+    from docspark.streaming import stateful as ST
+
+    def put(*rows_):
+        spark.createDataFrame(rows_, "entry_id bigint, result string, t string").select("entry_id", "result", F.to_timestamp("t").alias("stored_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    schema = StructType([StructField("entry_id", LongType()), StructField("result", StringType()), StructField("stored_at", TimestampType())])
+    put((1, "a", "2025-01-01 00:00:00"), (2, "x", "2025-01-01 00:00:00"))
+    put((1, "b", "2025-01-01 00:00:50"))
+    put((3, "late", "2025-01-01 01:00:00"))
+    put((1, "c", "2025-01-01 02:00:00"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = rows(ST.run_once(ST.live_entries(stream, Settings(cache_ttl_seconds=60)), "live", str(tmp_path / "c")))
+    assert [g for g in got if g[0] < 3] == [(1, "a", "new"), (1, "b", "expired"), (1, "b", "refreshed"), (1, "c", "new"), (2, "x", "expired"), (2, "x", "new")]
+
+
+def test_extractors(spark, tmp_path):
+    from docspark.cli import pages_of_files
+
+    (tmp_path / "a.html").write_text("<html><head><title>x</title></head><body><p>The bank shall keep records of its customers, and all of them.</p><p>It must &amp; will.</p></body></html>")
+    (tmp_path / "b.txt").write_text("First page here with many words in it, all of them different\nand lines.\n\nMore.\fSecond page here with other words in it, each of which stands once\n\nonly.")
+    (tmp_path / "c.bin").write_bytes(b"\xff\xfe\x00")
+    got = {(r.document_name, r.page): r.text for r in pages_of_files(spark, str(tmp_path)).collect()}
+    assert got["a", 1].startswith("The bank shall keep") and "It must & will." in got["a", 1] and got["b", 2].startswith("Second page")
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from docspark.session import discard, new_path, shared_folder, written
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
+    made = written(spark.range(3), "x")
+    assert made.count() == 3 and new_path(spark, "x") != new_path(spark, "x")
+    other = f"file://{tmp_path}/work"
+    spark.range(3).write.parquet(f"{other}/t")
+    discard(spark, other)
+    assert not (tmp_path / "work").exists()
+
+
+def test_optional_fields_and_resume(spark, tmp_path):
+    from docspark.schemas import FEEDBACK
+
+    df = spark.createDataFrame([("m", 1, "x"), (None, 0, "y")], "message_id string, feedback int, other string")
+    assert io.append_optional(df, str(tmp_path / "f"), FEEDBACK, "message_id").count() == 1
+    assert spark.read.parquet(str(tmp_path / "f")).columns == FEEDBACK.names
+    spark.range(3).write.json(str(tmp_path / "j"))
+    assert rows(io.resume(spark.range(5), str(tmp_path / "j"), spark.range(1).schema, "id")) == [(3,), (4,)]
+
+
 def test_command_line(spark, tmp_path):
     from docspark.cli import ingest
 
     text = "The bank shall keep the records of its customers for ten years. " * 3
-    spark.createDataFrame([("A", 1, text), ("B", 1, text), (None, 1, text)], "document_name string, page int, text string").write.parquet(str(tmp_path / "p"))
-    args = spark, str(tmp_path / "p"), str(tmp_path / "c")
-    assert ingest(*args, validate_only=True).count() == 2 and ingest(*args, dry_run=True).count() == 2
-    assert rows(ingest(*args)) == [("A", 1), ("B", 1)] and ingest(*args).count() == 0
+    spark.createDataFrame([("A", 1, text), ("B", 1, text), ("C", 1, "short"), (None, 1, text)], "document_name string, page int, text string").write.parquet(str(tmp_path / "p"))
+    args = spark, str(tmp_path / "p"), str(tmp_path / "c"), str(tmp_path / "r")
+    status = lambda df: {r.document_name: (r.status, r.chunks) for r in df.collect()}
+    assert set(status(ingest(*args, validate_only=True)).values()) == {("found", 0)}
+    assert status(ingest(*args, dry_run=True)) == {"A": ("ok", 1), "B": ("ok", 1), "C": ("no_text", 0)} and not (tmp_path / "c").exists()
+    assert status(ingest(*args)) == {"A": ("ok", 1), "B": ("ok", 1), "C": ("no_text", 0)}
+    assert status(ingest(*args)) == {"A": ("skipped", 0), "B": ("skipped", 0), "C": ("no_text", 0)}
+    loaded = spark.read.parquet(str(tmp_path / "c"))
+    assert loaded.count() == 2 and all(len(r.embedding) == 64 for r in loaded.collect())
+    assert {r.document_name for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {"A", "B"}
 
 
 def test_sql_functions(spark):

@@ -92,11 +92,47 @@ def test_conversations(spark):
 def test_links_to_the_likeliest_parent(spark):
     m = _messages(spark, [
         ("a", "s", "about liquidity ratios", None, "2025-01-01 00:00:00"), ("b", "s", None, "liquidity ratios matter", "2025-01-01 00:01:00"),
-        ("c", "s", "thanks then", "welcome", "2025-01-01 00:02:00"),
+        ("c", "s", "thanks then", "welcome", "2025-01-01 00:02:00"), ("d", "s", "next day", None, "2025-01-03 00:00:00"), ("e", "s", None, "...", "2025-01-03 00:00:00"),
     ])
     f = spark.createDataFrame([], "session_id string, message_id string")
-    got = {(r.message_id, r.role): r.parent_id for r in conversations.links(conversations.units(m, f)).collect()}
-    assert got == {("a", "user"): None, ("b", "assistant"): "a", ("c", "user"): "b", ("c", "assistant"): "c"}
+    got = {(r.message_id, r.role): (r.parent_id, r.parent_role) for r in conversations.links(conversations.units(conversations.exchanges(m, f))).collect()}
+    assert got == {("a", "user"): (None, None), ("b", "assistant"): ("a", "user"), ("c", "user"): ("b", "assistant"), ("c", "assistant"): ("c", "user"), ("d", "user"): ("c", "assistant"), ("e", None): (None, None)}
+
+
+def test_a_mention_can_be_outvoted(spark):
+    """A reply that came hours later, in the words of the question just asked, goes to that one, so neither exchange is whole."""
+    m = _messages(spark, [
+        ("a", "s", "about liquidity ratios", None, "2025-01-01 00:00:00"), ("b", "s", "which capital buffers apply here", None, "2025-01-01 09:00:00"),
+        ("a", "s", None, "which capital buffers apply here", "2025-01-01 09:00:05"), ("b", "s", None, "these buffers", "2025-01-01 09:01:00"), ("c", "t", "fine", "good", "2025-01-01 00:00:00"),
+    ])
+    f = spark.createDataFrame([], "session_id string, message_id string")
+    got = {(r.message_id, r.role): r.parent_id for r in conversations.links(conversations.units(conversations.exchanges(m, f))).collect()}
+    assert got["a", "assistant"] == "b"
+    assert rows(conversations.conversations(m, f).select("session_id").distinct()) == [("t",)]
+
+
+def test_interleaved_threads_are_parted_by_links(spark):
+    """Two talks in one channel, message by message, with nothing but words and times to tell them apart."""
+    one = ["reporting liquidity ratios quarterly", "liquidity ratios quarterly reporting deadline", "deadline for liquidity ratios reporting", "ratios reporting deadline extended"]
+    two = ["customer complaint records archive", "archive complaint records securely", "securely archive customer records", "records archive customer access"]
+    data = [(f"{t}{i}", "room", text, i, n) for n, t, texts in ((0, "x", one), (1, "y", two)) for i, text in enumerate(texts)]
+    m = _messages(spark, [(k, s, text if i % 2 == 0 else None, None if i % 2 == 0 else text, f"2025-01-01 00:{2 * i + n:02}:00") for k, s, text, i, n in data])
+    f = spark.createDataFrame([], "session_id string, message_id string")
+    parted = conversations.threads(conversations.links(conversations.units(conversations.exchanges(m, f))))
+    groups = {}
+    for r in parted.collect():
+        groups.setdefault(r.thread, set()).add(r.message_id)
+    assert sorted(map(sorted, groups.values())) == [["x0", "x1", "x2", "x3"], ["y0", "y1", "y2", "y3"]]
+
+
+def test_interleaved_exchanges_keep_their_numbers(spark):
+    m = _messages(spark, [
+        ("a", "s", "first", None, "2025-01-01 23:59:00"), ("b", "s", "second", None, "2025-01-01 23:59:30"), ("a", "s", None, "reply one", "2025-01-02 00:00:10"), ("b", "s", None, "reply two", "2025-01-02 00:00:20"),
+        ("b", "s", None, "reply two", None), ("c", "s", "third", "fine", "2025-01-02 00:01:00"), ("d", "u", "q", "a", "2025-01-02 00:01:00"), ("d", "u", "...", "", None),
+    ])
+    f = spark.createDataFrame([], "session_id string, message_id string")
+    got = rows(conversations.conversations(m, f).select("session_id", "turn_no", "message_id", "role"))
+    assert got == [("s", 1, "a", "user"), ("s", 2, "a", "assistant"), ("s", 3, "b", "user"), ("s", 4, "b", "assistant"), ("s", 5, "c", "user"), ("s", 6, "c", "assistant")]
 
 
 # 3

@@ -105,8 +105,9 @@ class Filters:
     def score(self, words: list[str]) -> tuple[list[float], int]:
         """Of each language the n-grams of the words, without the expected false positives."""
         n, totals, packed, open_ = 0, [0] * len(LANGUAGES), 0, 0
+        known = self.known
         for w in words:
-            p, k = self.word(w)
+            p, k = known.get(w) or self.word(w)
             packed += p
             n += k
             open_ += k
@@ -177,36 +178,43 @@ def passages(text: str, filters: Filters, look: dict[int, str]) -> list[tuple[st
     """(language, confidence, longest sentence in words, words) of the passages of one text in order."""
     out: list[list] = []
     for sentence in SENTENCE.split(fold(text, look)):
-        lines = [_words(line) for line in sentence.split("\n")] if "\n" in sentence else [_words(sentence)]
-        units = [([w for ws, _ in lines for w in ws], sum(n for _, n in lines))]
-        if len(lines) > 1:
-            main = filters.decide(units[0][0])[0]
-            own = [len(ws) > 3 and (d := filters.decide(ws))[0] != main and d[1] > 0.3 for ws, _ in lines]
-            if any(own):
-                rest = [x for x, o in zip(lines, own, strict=True) if not o]
-                units = [([w for ws, _ in rest for w in ws], sum(n for _, n in rest)), *(x for x, o in zip(lines, own, strict=True) if o)]
-        for words, size in units:
+        if "\n" in sentence:
+            lines = [_words(line) for line in sentence.split("\n")]
+            units = [([w for ws, _ in lines for w in ws], sum(n for _, n in lines), None)]
+            if len(lines) > 1:
+                whole = filters.decide(units[0][0])
+                found = [filters.decide(ws) if len(ws) > 3 else None for ws, _ in lines]
+                own = [d is not None and d[0] != whole[0] and d[1] > 0.3 for d in found]
+                if any(own):
+                    rest = [x for x, o in zip(lines, own, strict=True) if not o]
+                    units = [([w for ws, _ in rest for w in ws], sum(n for _, n in rest), None), *((*x, d) for x, d, o in zip(lines, found, own, strict=True) if o)]
+                else:
+                    units = [(*units[0][:2], whole)]
+        else:
+            units = [(*_words(sentence), None)]
+        for words, size, decision in units:
             if not words:
                 continue
-            lang = filters.decide(words)[0]
+            lang, sure = decision or filters.decide(words)
             if out and out[-1][0] == lang:
-                out[-1][1] = max(out[-1][1], size)
-                out[-1][2] += words
+                out[-1] = [lang, None, max(out[-1][2], size), out[-1][3] + words]
             else:
-                out.append([lang, size, words])
-    return [(lang, filters.decide(words)[1] if lang else 0.0, size, words) for lang, size, words in out]
+                out.append([lang, sure, size, words])
+    return [(lang, 0.0 if not lang else filters.decide(words)[1] if sure is None else sure, size, words) for lang, sure, size, words in out]
 
 
 def least_hashes(rows: DataFrame, text_col: str, sample: int) -> DataFrame:
     """At most ``sample`` rows of different texts, those with the least hashes. Only a range of hashes that holds about
     three times as many is looked at, so that what is sorted has a bound as well, however large the table or a group of
-    copies."""
+    copies. Of copies, the row that comes first by its other columns."""
     n = rows.count()
     share = min(1.0, 3 * sample / max(n, 1))
     marked = rows.withColumn("__h", F.xxhash64(text_col))
     if share < 1:
         marked = marked.where(F.col("__h") < int(-(2**63) + share * 2**64))
-    return marked.dropDuplicates(["__h"]).orderBy("__h").limit(sample).drop("__h")
+    others = [c for c in rows.columns if c != text_col]
+    first = marked.groupBy("__h").agg(F.min(F.struct(*others, text_col)).alias("__x")).orderBy("__h").limit(sample)
+    return first.select(*[F.col(f"__x.{c}").alias(c) for c in rows.columns])
 
 
 def fit_filters(labelled: DataFrame, text_col: str, language_col: str, sample: int = 3_000) -> tuple[Filters, dict[int, str]]:

@@ -1,7 +1,7 @@
 """Defects of prompt and response pairs: empty, refusal, copy, other_language, truncated; at most one each, in this order.
 
-Refusals are sentences of small grammars (:data:`REFUSALS`) with nothing beside them but apologies and advice. Copies are
-found by greedy string tiling of the reply with the question's words. Languages come from the n-gram filters. Truncation: a
+Refusals are sentences of small grammars (:data:`REFUSALS`) with nothing beside them but excuses and advice. Copies are found
+by greedy string tiling of the reply with the question's words (running hashes). Languages come from the n-gram filters. Truncation: a
 pushdown parser reads fences, brackets, quotations, list items and tags; what it leaves open is truncated. A reply without
 a final mark is judged by how its last words go on elsewhere: of all replies, it is counted how often the same words end a
 sentence and how often they continue; the counts are joined on the words. A short reply as a whole is finished by the share
@@ -25,25 +25,33 @@ from pyspark.sql import functions as F
 from docspark.llm.lang_id import Filters, fold, passages
 from docspark.session import written
 
-# Grammars of sentences that decline or say that nothing was found.
+# Grammars of sentences that decline or say that nothing was found: who speaks, that it can't or mustn't, and what it would
+# have had to do; or a search without a find. The speaker is the assistant, not somebody that a rule forbids something.
+_EN_ACT = r"(?:help|assist|answer|reply|respond|provide|offer|comment|discuss|disclose|share|say|give|do|address|speak|talk|advise|guide|tell|confirm)"
+_EN_I = r"(?:i|we|this assistant|the assistant)"
 REFUSALS = re.compile(
     "|".join(
         (
-            r"\b(?:can ?not|can't|can not|unable|not able|won't be able)\b.*\b(?:help|assist|answer|reply|respond|provide|comment|discuss|share|say|give|do)\b",
-            r"\bnot? (?:something )?(?:i am |i'm )?(?:allowed|permitted|authori[sz]ed)\b|\b(?:must|have to) (?:decline|refuse)\b|\b(?:decline|refuse) to\b",
-            r"\b(?:does|do|did) not (?:let|allow|permit) me\b|\bnothing\b.*\bfound\b|\bno (?:relevant )?(?:information|answer|result|passage)s?\b|\b(?:could|did|can) ?not find\b|\bnot found in\b",
-            r"\bpas en mesure\b|\bne (?:peux|puis|pourrai|saurais) (?:pas |malheureusement )?|\bpas autorisée?\b|\bpas permis\b|\baucun(?:e)? (?:information|réponse|passage|élément)|\bne (?:me )?permet(?:tent)?\b.*\brépondre\b|\b(?:dois|préfère) (?:décliner|refuser|m'abstenir)\b|\brien trouvé\b|\bn'ai (?:rien|pas) trouvé\b",
-            r"\bnicht (?:in der lage|möglich|gestattet|erlaubt|befugt)\b|\bkann\b.*\b(?:nicht|keine)\b|\bdarf\b.*\bnicht\b.*\b(?:sprechen|äußern|besprechen|sagen)\b|\b(?:nichts|keine (?:angaben|informationen|antwort|auskunft))\b|\bmuss\b.*\b(?:ablehnen|verzichten)\b|\blassen\b.*\bnicht zu\b|\bnicht beantworten\b",
-            r"\bno (?:puedo|podré|podemos|me es posible)\b|\bno se me permite\b|\bno estoy (?:en condiciones|autorizad[oa])\b|\bno (?:he|se ha) encontrado\b|\bno (?:hay|dispongo de|existe) (?:ninguna )?(?:información|respuesta)|\bdebo (?:declinar|rechazar|abstenerme)\b|\bno me permite\b|\bme veo obligad[oa]\b|\bninguna información\b",
-            r"لا (?:يمكنني|أستطيع|يمكن|يسعني)|ليس مسموحا|غير (?:قادر|مسموح|مخول)|لم (?:أعثر|أجد|يتم العثور|نعثر)|أعتذر عن (?:الإجابة|عدم)|لا تسمح لي|لا تتيح لي|لا (?:توجد|يوجد|تتوفر)",
+            rf"\b{_EN_I}(?: am| are| is|'m|'re| was| were)?(?: \w+){{0,3}}? (?:can ?not|can't|could not|couldn't|may not|unable to|not able to|won't be able to|will not be able to|not in a position to) (?:\w+ )?{_EN_ACT}\b",
+            rf"\bnot (?:something|a topic|a matter|anything) (?:that )?{_EN_I} (?:am|are|is|can|could|may)\b|\b{_EN_I}(?: am| are|'m|'re)? not (?:allowed|permitted|authori[sz]ed|free) to\b",
+            rf"\b{_EN_I} (?:must|have to|need to|will have to)? ?(?:decline|refuse)\b|\b(?:does|do|did|will|would) not (?:let|allow|permit) (?:me|us)\b",
+            rf"\bnothing\b.*\b(?:was|were|could be|has been|is)? ?found\b|\bno (?:relevant )?(?:information|answer|result|passage)s?\b.*\b(?:found|available)\b|\b{_EN_I} (?:could not|couldn't|did not|didn't|can ?not|can't) find\b",
+            r"\bje ne suis (?:\w+ )?pas (?:en mesure|autorisée?|capable)\b|\bje ne (?:peux|puis|pourrai|saurais)\b|\b(?:il )?ne m'est pas (?:permis|possible)\b|\b(?:ne )?me permet(?:tent)? pas\b|\bje (?:dois|préfère) (?:décliner|refuser|m'abstenir)\b",
+            r"\baucune? (?:information|réponse|passage|élément)\b.*\b(?:figure|trouvée?|disponible|n'existe|n'a été)\b|\bje n'ai (?:rien|pas|trouvé aucun)\b|\brien (?:n'a été )?trouvé\b",
+            r"\bich (?:\w+ ){0,3}?(?:kann|darf|konnte|bin)\b.*\b(?:nicht|keine?n?|nichts)\b|\b(?:kann|darf|konnte|bin|muss|habe) ich\b.*\b(?:nicht|keine?n?|nichts|ablehnen|verzichten)\b|\bich muss\b.*\b(?:ablehnen|verzichten)\b|\blassen? mich\b.*\bnicht\b|\b(?:ist|wird) mir nicht (?:möglich|gestattet|erlaubt)\b|\bnichts (?:dazu )?gefunden\b",
+            r"\bno (?:puedo|podré|podemos)\b|\bno me (?:es posible|está permitido|permiten?)\b|\bno se me permite\b|\bno estoy (?:en condiciones|autorizad[oa]|en posición)\b|\bno (?:he|hemos|se ha) encontrado\b|\bno (?:dispongo|tengo) (?:de )?(?:ninguna )?(?:información|respuesta)\b|\bno (?:hay|existe) (?:ninguna )?(?:información|respuesta)\b|\bdebo (?:declinar|rechazar|abstenerme)\b|\bme veo obligad[oa]\b",
+            r"لا (?:يمكنني|أستطيع|يسعني)|ليس مسموحا لي|(?:لست|غير) (?:قادر|قادرا|مسموح لي|مخول|مخولا)|لم (?:أعثر|أجد|يتم العثور|نعثر|نجد)|أعتذر عن (?:الإجابة|عدم)|لا (?:تسمح|تتيح) لي|لا (?:توجد|يوجد|تتوفر) (?:لدي )?(?:معلومات|معلومة|إجابة)",
         )
     )
 )
-# Sentences that may stand beside a refusal.
+# Sentences that may stand beside a refusal: advice where to turn, and excuses without more.
 BESIDE = re.compile(
-    r"\b(?:contact|speak to|consult|try another|ask another|rephrase|please reach|get in touch)\b|\b(?:veuillez|adressez|contacte[rz]|consulte[rz]|essayez|posez)\b"
-    r"|\b(?:wenden sie|kontaktieren sie|versuchen sie|fragen sie|sprechen sie)\b|\b(?:póngase|contacte|consulte|pruebe|diríjase|intente|hable)\b|يرجى|جرب|تواصل|راجع|استشر"
-    r"|^\W*(?:i am |i'm )?(?:very )?(?:sorry|apologi|unfortunately|regrettably|désolé|malheureusement|entschuldigung|leider|lo siento|perdone|por desgracia|عذرا|نعتذر|للأسف|مع الأسف)[^.]{0,30}\W*$"
+    r"^\W*(?:please|kindly|you (?:may|can|could|should|might)|try|contact|consult|ask|rephrase|speak|get in touch|reach out|turn to)\b"
+    r"|^\W*(?:veuillez|essayez|adressez|contactez|consultez|posez|merci de|vous pouvez|reformulez)\b"
+    r"|^\W*(?:bitte|(?:wenden|kontaktieren|versuchen|fragen|sprechen|stellen) sie|sie können)\b"
+    r"|^\W*(?:por favor|póngase|contacte|consulte|pruebe|diríjase|intente|hable|puede|reformule)\b"
+    r"|^\W*(?:يرجى|جرب|حاول|تواصل|راجع|استشر|من فضلك|يمكنك)"
+    r"|^\W*(?:i am |i'm |we are )?(?:very )?(?:sorry|apolog\w+|unfortunately|regrettably|désolée?|malheureusement|entschuldigung|leider|lo siento|perdone|por desgracia|عذرا|نعتذر|أعتذر|للأسف|مع الأسف)(?: (?:for|about) (?:this|that|the \w+))?\W*$"
 )
 # How a question names the language of the answer.
 ASKED = {
@@ -62,64 +70,100 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,10})(?:\s[^<>]*)?(/?)>")
 _FINAL, _CLOSERS = ".!?؟", "\"'»”’)]}›*_`"
 
 
+_TOKENS = re.compile(r"```|<(?=/?[a-zA-Z])|[(\[{«“‹)\]}»”›\"]")
+
+
 def left_open(text: str) -> bool:
     """A pushdown parser over fences, brackets, quotations, tags and list items: does the text end inside one of them?"""
     stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if text.startswith("```", i):
-            if stack and stack[-1] == "```":
-                stack.pop()
-            elif "```" not in stack:
-                stack.append("```")
-            i += 3
+    skip = 0
+    for token in _TOKENS.finditer(text):
+        at, c = token.start(), token.group()
+        if at < skip:
             continue
-        if stack and stack[-1] == "```":
-            i += 1
-            continue
-        if c == "<" and (m := _TAG.match(text, i)):
-            end, name, alone = m.groups()
-            if end:
-                if name in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            elif not alone and name.lower() not in ("br", "hr", "img", "p", "li"):
-                stack.append(name)
-            i = m.end()
+        if c == "```":
+            if stack and stack[-1] == c:
+                stack.pop()
+            else:
+                stack.append(c)
+        elif stack and stack[-1] == "```":
             continue
-        if c in "([{«“‹":
+        elif c == "<":
+            if m := _TAG.match(text, at):
+                end, name, alone = m.groups()
+                if end:
+                    if name in stack:
+                        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                elif not alone and name.lower() not in ("br", "hr", "img", "p", "li"):
+                    stack.append(name)
+                skip = m.end()
+        elif c in _PAIRS or c == '"':
+            opened = _PAIRS.get(c, c)
+            if opened in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(opened) :]
+            elif c == '"':
+                stack.append(c)
+        else:
             stack.append(c)
-        elif c in _PAIRS:
-            if _PAIRS[c] in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(_PAIRS[c]) :]
-        elif c == '"':
-            if '"' in stack:
-                del stack[len(stack) - 1 - stack[::-1].index('"') :]
-            else:
-                stack.append('"')
-        i += 1
     return bool(stack) or bool(re.search(r"\n\s*(?:[-*•]|\d+[.)])\s*$", text))
 
 
 def tiles(reply: list[str], question: list[str], least: int = 3) -> list[bool]:
-    """Which words of the reply lie in tiles, by greedy string tiling: the longest common runs first, each word once."""
+    """Which words of the reply lie in tiles, by greedy string tiling: the longest common runs first, each word once. Runs of
+    a length are found by running hashes of the free stretches (Karp and Rabin), lengths from the longest possible one down
+    by halves, so that no pair of places is compared word by word unless their hashes agree."""
     a, b = [False] * len(reply), [False] * len(question)
-    while True:
-        longest, found = least - 1, []
-        for i in range(len(reply)):
-            for j in range(len(question)):
-                k = 0
-                while i + k < len(reply) and j + k < len(question) and not a[i + k] and not b[j + k] and reply[i + k] == question[j + k]:
-                    k += 1
-                if k > longest:
-                    longest, found = k, [(i, j)]
-                elif k == longest and k >= least:
-                    found.append((i, j))
-        if not found:
-            return a
+    size = min(len(reply), len(question))
+    while size >= least:
+        found = _runs(reply, question, a, b, size)
+        if not found:  # the longest run that there is
+            low, high = least, size - 1
+            size = least - 1
+            while low <= high:
+                middle = (low + high + 1) // 2
+                if _runs(reply, question, a, b, middle, True):
+                    size, low = middle, middle + 1
+                else:
+                    high = middle - 1
+            continue
         for i, j in found:
-            if not any(a[i : i + longest]) and not any(b[j : j + longest]):
-                a[i : i + longest] = b[j : j + longest] = [True] * longest
+            if not any(a[i : i + size]) and not any(b[j : j + size]):
+                a[i : i + size] = b[j : j + size] = [True] * size
+    return a
+
+
+_BASE, _MODULUS = 1_000_003, (1 << 61) - 1
+
+
+def _rolling(words: list[str], taken: list[bool], size: int) -> Iterator[tuple[int, int]]:
+    """(place, hash) of the runs of ``size`` free words."""
+    top, now, length = pow(_BASE, size - 1, _MODULUS), 0, 0
+    for i, w in enumerate(words):
+        if taken[i]:
+            now = length = 0
+            continue
+        if length == size:
+            now = (now - hash(words[i - size]) % _MODULUS * top) % _MODULUS
+            length -= 1
+        now = (now * _BASE + hash(w)) % _MODULUS
+        length += 1
+        if length == size:
+            yield i - size + 1, now
+
+
+def _runs(reply: list[str], question: list[str], a: list[bool], b: list[bool], size: int, one: bool = False) -> list[tuple[int, int]]:
+    """The places of common runs of ``size`` free words; the first will do if ``one``."""
+    places: dict[int, list[int]] = {}
+    for j, h in _rolling(question, b, size):
+        places.setdefault(h, []).append(j)
+    found = []
+    for i, h in _rolling(reply, a, size) if places else ():
+        for j in places.get(h, ()):
+            if reply[i : i + size] == question[j : j + size]:
+                found.append((i, j))
+                if one:
+                    return found
+    return found
 
 
 def is_copy(reply: str, question: str) -> bool:
@@ -140,37 +184,44 @@ def is_copy(reply: str, question: str) -> bool:
 
 
 def is_refusal(reply: str) -> bool:
+    """Sentences that decline, and no other but excuses and advice beside them."""
     found = False
     for s in _SENTENCES.split(reply):
         if not WORD.search(s):
             continue
-        if len(WORD.findall(s)) <= 25 and not re.search(r"\d", s) and REFUSALS.search(s):
+        if REFUSALS.search(s):
             found = True
-        elif not BESIDE.search(s) or re.search(r"\d", s):
+        elif not BESIDE.search(s):
             return False
     return found
 
 
-def normal_words(text: str, vocabulary: set[str]) -> list[str]:
-    """Words with numbers as # and runs of words that aren't in the vocabulary as <r>."""
-    out: list[str] = []
-    for w in WORD.findall(text):
-        x = "#" if any(c.isdigit() for c in w) else w if w in vocabulary else "<r>"
-        if not (x == "<r>" and out and out[-1] == "<r>"):
-            out.append(x)
-    return out
+class Normal:
+    """Words with numbers as # and those that aren't in the vocabulary as <r>, of which runs become one."""
+
+    def __init__(self, vocabulary: set[str]):
+        self.vocabulary, self.known = vocabulary, {}
 
+    def __call__(self, words: list[str]) -> list[str]:
+        known, out, last = self.known, [], ""
+        for w in words:
+            x = known.get(w)
+            if x is None:
+                if len(known) > 200_000:
+                    known.clear()
+                x = known[w] = "#" if any(c.isdigit() for c in w) else w if w in self.vocabulary else "<r>"
+            if x != "<r>" or last != "<r>":
+                out.append(x)
+            last = x
+        return out
 
-def _whole(text: str, vocabulary: set[str]) -> str | None:
-    """A short reply as a whole."""
-    w = normal_words(text, vocabulary) if len(text) <= 120 else []
-    return "^ " + " ".join(w) if 0 < len(w) <= 10 else None
 
+#: The words of the longest form that is counted as a whole.
+LONGEST = 10
 
-def _beginnings(text: str, vocabulary: set[str]) -> list[str]:
-    """The forms of short replies as which the text begins before it goes on."""
-    w = normal_words(text[:160], vocabulary)
-    return ["^ " + " ".join(w[:n]) for n in range(1, min(len(w), 11))]
+
+def _form(words: list[str]) -> str:
+    return "^ " + " ".join(words)
 
 
 def _mark(text: str) -> int:
@@ -211,6 +262,7 @@ def defects(messages: DataFrame, filters: Filters, look: dict[int, str]) -> Data
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, look, vocabulary, prefixes = shared.value
+        normal = Normal(vocabulary)
         for batch in batches:
             ids, kinds, k9, k3, k2 = [], [], [], [], []
             for i, question, reply in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -231,8 +283,9 @@ def defects(messages: DataFrame, filters: Filters, look: dict[int, str]) -> Data
                         if text[-1:] in ",:;-–—/" or last and last[0] in prefixes and text.endswith(last[0]):
                             kind = "truncated"
                         else:
-                            w = normal_words(_SENTENCES.split(text)[-1], vocabulary)
-                            keys = (_whole(text, vocabulary), " ".join(w[-3:]) if len(w) > 2 else None, " ".join(w[-2:]))
+                            whole, w = normal(WORD.findall(text)), normal(WORD.findall(_SENTENCES.split(text)[-1]))
+                            form = _form(whole) if 0 < len(whole) <= LONGEST else None
+                            keys = (form, " ".join(w[-3:]) if len(w) > 2 else None, " ".join(w[-2:]))
                             kind = "?"
                 if kind:
                     ids.append(i)
@@ -243,36 +296,49 @@ def defects(messages: DataFrame, filters: Filters, look: dict[int, str]) -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, look, vocabulary, _ = shared.value
+        normal = Normal(vocabulary)
         for batch in batches:
-            # Keys are words, and forms with the text they stand in.
+            # Runs of words, and forms with the text they stand in: (key, mark of the text): counts.
             ends, goes, stops = Counter(), Counter(), Counter()
+            form_goes, form_stops = [], []
             for reply in batch.column(0).to_pylist():
                 text, open_ = open_end(fold(reply, look))
                 mark = _mark(text)
-                if open_ and (whole := _whole(text, vocabulary)):
-                    stops[whole, mark] = 1
-                for form in _beginnings(text, vocabulary):
-                    goes[form, mark] = 1
-                sentences = [s for s in _SENTENCES.split(text) if WORD.search(s)]
+                sentences = [w for s in _SENTENCES.split(text) if (w := WORD.findall(s))]
+                whole = normal([w for s in sentences for w in s])
+                if open_ and 0 < len(whole) <= LONGEST:
+                    form_stops.append((_form(whole), mark))
+                form = "^"
+                for w in whole[: min(LONGEST, len(whole) - 1)]:
+                    form = f"{form} {w}"
+                    form_goes.append((form, mark))
                 for j, s in enumerate(sentences):
-                    w = normal_words(s, vocabulary)
+                    w = normal(s)
+                    goes.update(zip(w[:-2], w[1:-1]))
+                    goes.update(zip(w[:-3], w[1:-2], w[2:-1]))
                     done = stops if open_ and j == len(sentences) - 1 else ends
                     for size in (2, 3):
-                        for x in range(size, len(w)):
-                            goes[" ".join(w[x - size : x]), None] += 1
                         if len(w) >= size:
-                            done[" ".join(w[-size:]), None] += 1
+                            done[tuple(w[-size:])] += 1
             keys = list(ends.keys() | goes.keys() | stops.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (ends, goes, stops))],
-                names=["key", "text", "ends", "goes", "stops"],
+            forms = list(dict.fromkeys(form_goes + form_stops))
+            went, stopped = set(form_goes), set(form_stops)
+            nothing = [0] * len(forms)
+            columns = (
+                pa.array([" ".join(k) for k in keys] + [f for f, _ in forms], pa.string()),
+                pa.array([None] * len(keys) + [m for _, m in forms], pa.int64()),
+                pa.array([ends[k] for k in keys] + nothing, pa.int64()),
+                pa.array([goes[k] for k in keys] + [int(f in went) for f in forms], pa.int64()),
+                pa.array([stops[k] for k in keys] + [int(f in stopped) for f in forms], pa.int64()),
             )
+            yield pa.RecordBatch.from_arrays(list(columns), names=["key", "text", "ends", "goes", "stops"])
 
     judged = written(full.select("message_id", "question", "reply").mapInArrow(judge, "message_id string, defect string, k9 string, k3 string, k2 string"), "judged")
     counts = full.select("reply").mapInArrow(count, "key string, text long, ends long, goes long, stops long")
     open_ = judged.where("defect = '?'").select("message_id", F.explode(F.array(*[F.struct(F.lit(size).alias("size"), F.col(f"k{size}").alias("key")) for size in (9, 3, 2)])).alias("x"))
     open_ = open_.select("message_id", "x.size", "x.key")
-    wanted = open_.select("key").where("key is not null").distinct()
+    # A small table of its own, so that the planner sees its size.
+    wanted = written(open_.select("key").where("key is not null").distinct(), "wanted")
     sums = lambda one: [F.sum(F.when(F.col("text").isNotNull(), F.least(c, F.lit(1))).otherwise(F.col(c)) if one else F.col(c)).alias(c) for c in ("ends", "goes", "stops")]
     known = counts.join(wanted, "key", "left_semi").groupBy("key", "text").agg(*sums(False)).groupBy("key").agg(*sums(True))
     # Of a form, what other texts show; where a tenth of them is less than one and none stops, its last words decide.
@@ -294,5 +360,7 @@ def _other_language(reply: str, question: str, filters: Filters) -> bool:
         arabic = any("\u0600" <= c <= "\u06ff" for c in question if c.isalpha())
         latin = any(c.isalpha() and c < "\u0250" for c in question)
         allowed = ({"ar"} if arabic else set()) | ({"en", "fr", "de", "es"} if latin else set())
-    allowed |= {lang for lang, pattern in ASKED.items() if pattern.search(question)}
-    return bool(allowed) and not any(lang in allowed for lang, _ in found)
+    if not allowed or any(lang in allowed for lang, _ in found):
+        return False
+    asked = {lang for lang, pattern in ASKED.items() if pattern.search(question)}
+    return not any(lang in asked for lang, _ in found)

@@ -151,6 +151,28 @@ def test_tiles_and_copies():
     assert not pair_defects.is_copy("you asked: " + q + "? the bank must submit it within nine days.", q) and not pair_defects.is_copy("", q)
 
 
+def test_tiles_by_hashes():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        covered = pair_defects.tiles(a, b, 3)
+        runs = {tuple(b[j : j + 3]) for j in range(len(b) - 2)}
+        longest = any(tuple(a[i : i + 3]) in runs for i in range(len(a) - 2))
+        assert len(covered) == len(a) and any(covered) == longest
+        edges = "".join("x" if c else " " for c in covered).split()
+        assert all(len(e) >= 3 for e in edges)
+    long = ["w"] * 3000
+    assert all(pair_defects.tiles(long, long))
+
+
+def test_refusals_of_any_length_and_with_numbers():
+    for text in ("i cannot discuss article 5.", "i am sorry, but as things stand with the rules, forms, circulars, letters and other papers that the authority has published so far i cannot answer this question.",
+                 "i can't help with this. please call 800 123 or write to the authority.", "ich kann zu artikel 12 leider keine auskunft geben.", "no puedo responder a la pregunta 7."):
+        assert pair_defects.is_refusal(text)
+    for text in ("i cannot help with this. the bank must contact the customer within 5 days.", "the bank cannot refuse to answer.", "nobody may share the report.", "the supervisor does not provide it."):
+        assert not pair_defects.is_refusal(text)
+
+
 def test_refusals():
     for text in ("i am sorry, but i cannot help with this request. please contact the authority.", "nothing on this was found.", "je ne suis pas en mesure de vous aider.", "لا يمكنني المساعدة في هذا الطلب."):
         assert pair_defects.is_refusal(text)

@@ -165,11 +165,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     from docspark.llm.lang_id import look_table
-    from docspark.llm.ocr_repair import fit_layout, scanned_lines
+    from docspark.llm.ocr_repair import fit_layout, repaired
 
     texts = _scans(spark, folder)
-    found = scanned_lines(texts, fit_layout(texts.where("item_kind = 'chunk'")), look_table())
-    return found.select("item_kind", "item_key", F.posexplode("paragraphs").alias("no", "paragraph"))
+    return repaired(texts, fit_layout(texts.where("item_kind = 'chunk'")), look_table())
 
 
 @query

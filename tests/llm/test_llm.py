@@ -215,23 +215,57 @@ def test_repair():
     model = tuple(np.log(x) for x in (ocr_repair.START, ocr_repair.MOVE, ocr_repair.EMIT))
     text = "The bank shall keep the records of all custo-\nmers for ten years and must submit the annual\n\n- 12 -\nRULEBOOK ON LIQUIDITY | 12\nreport to the board. The insurer shall do the same."
     noise, body = ocr_repair.repair(text, "Rulebook on Liquidity", "", (12, 12), model)
-    assert sorted(n[0] for n in noise) == ["header", "hyphen", "page_number"] and ("hyphen", "customers", "custo-mers") in noise
+    assert sorted(n[0] for n in noise) == ["header", "hyphen", "page_number"] and ("hyphen", "customers", "custo-mers", False) in noise
     assert body == ["The bank shall keep the records of all customers for ten years and must submit the annual report to the board. The insurer shall do the same."]
     assert ocr_repair.repair("", "", "", (None, None), model) == ([], [])
+    noise, _ = ocr_repair.repair("The bank shall keep the records of all custo-\nmers", "", "", (None, None), model)
+    assert noise == [("hyphen", "customers", "custo-mers", True)]
+    _, body = ocr_repair.repair("The plan of the third-\nparty stays.", "", "", (None, None), model, {"third-party": "third-party"})
+    assert body == ["The plan of the third-party stays."]
 
 
-def test_confusions():
-    assert "continuity" in ocr_repair.undone("c0ntinuity") and "within" in ocr_repair.undone("vvith1n") and "production" in ocr_repair.undone("procluction")
+def test_confusions(spark):
+    pairs = [("c0ntinuity", "continuity"), ("vvith1n", "within"), ("procluction", "production"), ("accuracy", "accuracy"), ("acc11racy", "accuracy"), ("rnediiim", "medium"), ("1iab1l1ty", "liability"), ("cl0c5", "does"), ("dear", "clear"), ("clear", "dear")]
+    assert [ocr_repair.misreads(w, r) for w, r in pairs] == [True, True, True, False, False, True, True, True, True, True]
+    assert not ocr_repair.misreads("continuity", "c0ntinuity")
+    rng = random.Random(11)
+    data = []
+    for _ in range(300):
+        right = "".join(rng.choice("abcdehilmnorsuvw") for _ in range(rng.randint(3, 9)))
+        wrong = right
+        for w, r in rng.sample(ocr_repair.CONFUSIONS, 4):
+            wrong = wrong.replace(r, w, 1)
+        data.append((wrong, right))
+    df = spark.createDataFrame(data, "w string, r string")
+    assert df.where(ocr_repair.strokes(F.col("w")) != ocr_repair.strokes(F.col("r"))).count() == 0
 
 
 def test_scan_noise(spark):
     model = tuple(np.log(x) for x in (ocr_repair.START, ocr_repair.MOVE, ocr_repair.EMIT))
     clean = [("chunk", f"c{i}", "the continuity plan of the third-party stays within limits", "N", None, 1, 1) for i in range(20)]
-    scan = [("chunk", "x", "the c0ntinuity plan of the third-\nparty stays within the lim-\nits", "N", None, 1, 1), ("source", "1", None, None, None, None, None), ("source", "2", "", "", "", None, None)]
-    df = spark.createDataFrame(clean + scan, "item_kind string, item_key string, text string, name string, title string, first int, last int")
-    assert rows(ocr_repair.scan_noise(df, model, {})) == [("chunk", "x", "hyphen", "limits"), ("chunk", "x", "misread", "continuity")]
+    scan = [("chunk", "x", "the c0nt1nu1ty plan of the third-\nparty stays within the lim-\nits and C0ntinuity", "N", None, 1, 1), ("source", "1", None, None, None, None, None), ("source", "2", "", "", "", None, None)]
+    cut = [("source", "3", "the plan of the limits stays vvithin\nthe plan of the lim-\nits", "N", None, 1, 1), ("source", "4", "the plan of the limits stays within\nthe c0ntinuity", "N", None, 1, 1),
+           ("chunk", "y", "the plan of the limits stays within\nthe c0ntinuity", "N", None, 1, 1), ("source", "5", "the plan of the limits stays within\nthe c0ntinuit", "N", None, 1, 1),
+           ("chunk", "z", "the plan of the limits stays vvithin\nthe plan of the lim-\nits and more", "N", None, 1, 1)]
+    kind = "item_kind string, item_key string, text string, name string, title string, first int, last int"
+    df = spark.createDataFrame(clean + scan + cut, kind)
+    assert rows(ocr_repair.scan_noise(df, model, {})) == [
+        ("chunk", "x", "hyphen", "limits"), ("chunk", "x", "misread", "continuity"), ("chunk", "y", "misread", "continuity"), ("chunk", "z", "hyphen", "limits"), ("chunk", "z", "misread", "within"), ("source", "3", "misread", "within"), ("source", "4", "misread", "continuity"),
+    ]
     assert ocr_repair.scan_noise(df.limit(0), model, {}).count() == 0
-    assert len(ocr_repair.fit_layout(df)) == 3
+    text = {(r.item_kind, r.item_key): r.paragraph for r in ocr_repair.repaired(df, model, {}).collect()}
+    assert text["chunk", "x"] == "the continuity plan of the third-party stays within the limits and Continuity" and text["chunk", "c0"] == clean[0][2]
+    assert text["source", "3"].startswith("the plan of the limits stays within the plan") and ("source", "2") not in text
+    assert ocr_repair.repaired(df.limit(0), model, {}).count() == 0
+
+
+def test_layout_is_fitted_on_all_texts(spark):
+    kind = "item_kind string, item_key string, text string, name string, title string, first int, last int"
+    data = [("chunk", str(i), "The bank shall keep the records of its customers for\nten years and more.\n\n- 7 -", "N", None, 7, 7) for i in range(400)]
+    fitted = ocr_repair.fit_layout(spark.createDataFrame(data, kind))
+    same = ocr_repair.fit_layout(spark.createDataFrame(data[::-1], kind).repartition(7))
+    assert all(np.allclose(a, b) and np.allclose(np.exp(a).sum(-1), 1) for a, b in zip(fitted, same))
+    assert fitted[1][1, 3] > np.log(ocr_repair.MOVE[1, 3]) and len(ocr_repair.fit_layout(spark.createDataFrame([], kind))) == 3
 
 
 # 5

@@ -1,13 +1,18 @@
 """The most similar vectors of every vector: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are searched once; their rows come back through their smallest ids, so a group of copies of any size costs
-one search. Centroids, fitted on a bounded sample of vectors (``sample`` rows), send each vector to its shard; shards above
-``shard_limit`` vectors are split. In each shard a graph is built in growing batches and stored as flat neighbour arrays,
-one for each layer, with its vectors. Each member is searched in its own graph; the similarity of its k-th neighbour then
-tells which other shards may well hold a better one (a shard lies behind the plane midway between the two centroids), and
-the member is searched there as well, in up to ``probes`` shards, nearest first: those whose plane is nearer than
-``reach`` times the k-th neighbour, by 1 - similarity. Similarities are computed again in double
-precision, rounded to 6 decimals, and the results of the shards are merged, ties to the smaller id.
+one search. Centroids, fitted on a bounded sample of vectors (``sample`` rows), send each vector to its shard; where the
+sample shows that a shard would hold several times as many vectors as others, it gets more centroids, so hot regions become
+several shards. In each shard a graph is built in growing batches and stored as flat neighbour arrays, one for each layer,
+with its vectors; how wide a beam the graph needs is measured on a sample of its members. Each member is searched in its own
+graph; the similarity of its k-th neighbour then tells which other
+shards may well hold a better one (a shard lies behind the plane midway between the two centroids), and the member is
+searched there as well, in up to ``probes`` shards, nearest first: those whose plane is nearer than ``reach`` times the k-th
+neighbour, by 1 - similarity. Similarities are computed again in double precision, rounded to 6 decimals, and the results of
+the shards are merged, ties to the smaller id.
+
+``exact=True`` is the exact way: shards are scanned instead of walked, and every shard is visited that can hold a better
+vector, which the plane decides rigorously; it costs what it takes.
 
 Shards have the size ``max(shard_size, sqrt(64 n))`` on average, so that neither the number of centroids that a vector is
 compared with nor a shard grows in proportion to the collection.
@@ -32,6 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from docspark.session import written
 
 NONE = np.float32(-4)
+#: How many vectors visit a shard in one task.
+VISITORS = 1 << 17
 
 
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +197,25 @@ class Graph:
         return np.concatenate(out) if out else np.empty((0, ef), np.int64)
 
 
+def wide_enough(graph: Graph, x: np.ndarray, k: int, ef: int, target: float, sample: int = 128) -> int:
+    """The width of the beam, ``ef`` or a doubling of it, that finds ``target`` of the ``k`` nearest of ``sample`` vectors of
+    the graph's own, which are compared with all. Dense regions need wider beams than others."""
+    some = np.unique(np.linspace(0, len(x) - 1, min(len(x), sample)).astype(int))
+    s = x[some] @ x.T
+    s[np.arange(len(some)), some] = -9
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return ef
+    last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-9
+    while ef < len(x):
+        ids = graph.search(x[some], ef)
+        found = (np.take_along_axis(s, ids, 1) >= last) & (ids >= 0)
+        if np.minimum(found.sum(1), k).mean() >= target * k:
+            break
+        ef *= 2
+    return ef
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -210,6 +236,20 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.
     return c.astype(np.float32)
 
 
+def split_hot(sample: np.ndarray, c: np.ndarray, n: int, size: int, limit: int) -> np.ndarray:
+    """``c`` with more centroids where the sample says that more than ``limit`` of ``n`` vectors lie: as many as parts of
+    ``size``, fitted to what lies there."""
+    if len(c) < 2 and n <= limit or not len(c):
+        return c
+    near = _nearest(sample.astype(np.float32), c, 1)[:, 0]
+    out = []
+    for i in range(len(c)):
+        mine = sample[near == i]
+        share = len(mine) * n / max(1, len(sample))
+        out.append(centroids(mine, math.ceil(share / size), seed=i + 2) if share > limit else c[i : i + 1])
+    return np.concatenate(out)
+
+
 def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     out = []
     for at in range(0, len(x), 4096):
@@ -240,13 +280,13 @@ class Stored(Graph):
 
 _OUT = (
     "shard int, sub int, r long, near array<long>, sim array<double>, rid string, many boolean, h1 long, h2 long, v array<float>, "
-    "vectors binary, order_ binary, links binary, widths array<int>, sizes array<int>, own array<long>, rids array<string>"
+    "vectors binary, order_ binary, links binary, widths array<int>, sizes array<int>, own array<long>, rids array<string>, ef int"
 )
 
 
 def neighbours(
-    rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 3, reach: float = 0.1,
-    shard_size: int = 2_048, sample: int = 50_000, ef: int = 32, m: int = 16,
+    rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 8, reach: float = 0.1,
+    shard_size: int = 2_048, sample: int = 50_000, ef: int = 12, build_ef: int = 48, m: int = 16, target: float = 0.992, exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour, similarity): of each usable row the ``k`` rows with the most similar vectors, not itself."""
     v = F.col("v")
@@ -260,9 +300,10 @@ def neighbours(
         some = some.sample(fraction=min(1.0, 1.1 * sample / n), seed=1).limit(sample)
     size = max(shard_size, int(math.sqrt(64 * n)))
     known = unit(np.unique(_matrix(some.toArrow().column(0).combine_chunks(), width), axis=0)) if n else np.empty((0, width))
-    fitted = centroids(known, max(1, round(n / size)))
     limit = 4 * size
+    fitted = split_hot(known, centroids(known, max(1, round(n / size))), n, size, limit)
     share = np.bincount(_nearest(known.astype(np.float32), fitted, 1)[:, 0], minlength=1) * (n / max(1, len(known)))
+    # Where even more centroids don't part the vectors, a hash of them does.
     subs = [max(1, math.ceil(x / limit)) for x in share.tolist()]
     numbers = F.array(*[F.lit(x) for x in subs])  # for each centroid
     reps = usable.groupBy("v").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"))
@@ -273,20 +314,20 @@ def neighbours(
         .repartition("shard", "sub")
         .sortWithinPartitions("shard", "sub")
         .select("shard", "sub", "rid", "many", "h1", "h2", "v")
-        .mapInArrow(_build(k, width, ef, m, fitted, subs, probes, reach), _OUT)
+        .mapInArrow(_build(k, width, ef, build_ef, m, target, fitted, subs, len(fitted) if exact else probes, reach, exact), _OUT)
     )
     built = written(built, "graphs")
     visits = built.where("v is not null").select("shard", "sub", "r", "v")
-    blobs = built.where("vectors is not null").select("shard", "sub", "vectors", "order_", "links", "widths", "sizes", "own", "rids")
+    blobs = built.where("vectors is not null").select("shard", "sub", "vectors", "order_", "links", "widths", "sizes", "own", "rids", "ef")
     # A shard with many visitors is read by several tasks.
-    tasks = visits.groupBy("shard", "sub").agg(F.ceil(F.count("*") / (8 * limit)).cast("int").alias("tasks"))
+    tasks = visits.groupBy("shard", "sub").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("tasks"))
     visits = visits.join(tasks, ["shard", "sub"]).withColumn("task", F.pmod(F.xxhash64("r"), F.col("tasks")).cast("int")).drop("tasks")
     blobs = blobs.join(tasks, ["shard", "sub"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     by = ["shard", "sub", "task"]
     blobs = blobs.select(*[F.col(c).alias(f"b_{c}") for c in by], *[c for c in blobs.columns if c not in by])
     visits = visits.select(*[F.col(c).alias(f"v_{c}") for c in by], "r", "v")
     reps = built.where("near is not null")
-    seen = visits.groupBy(*[f"v_{c}" for c in by]).cogroup(blobs.groupBy(*[f"b_{c}" for c in by])).applyInArrow(_visit(k, width, ef), "r long, near array<long>, sim array<double>")
+    seen = visits.groupBy(*[f"v_{c}" for c in by]).cogroup(blobs.groupBy(*[f"b_{c}" for c in by])).applyInArrow(_visit(k, width, exact), "r long, near array<long>, sim array<double>")
     found = reps.select("r", "near", "sim").unionByName(seen)
     every = F.array_sort(F.flatten(F.collect_list(F.zip_with("near", "sim", lambda a, b: F.struct((-b).alias("far"), a.alias("o"))))))
     merged = found.groupBy("r").agg(every.alias("every"))
@@ -342,7 +383,26 @@ def _places(rids: list[str]) -> np.ndarray:
     return out
 
 
-def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[int], probes: int, reach: float):
+def _scan(q: np.ndarray, exact: np.ndarray, most: int) -> np.ndarray:
+    """Of each row of ``q`` the indices of the ``most`` rows with the highest similarity, and those as good as the last."""
+    s = np.round(q @ exact.T, 6)
+    if s.shape[1] <= most:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    last = -np.partition(-s, most - 1, axis=1)[:, most - 1 : most]
+    fit = s >= last
+    wide = int(fit.sum(1).max())
+    order = np.argsort(~fit, axis=1, kind="stable")[:, :wide]
+    return np.where(np.take_along_axis(fit, order, 1), order, -1)
+
+
+def _step(n: int) -> int:
+    """How many queries are compared with ``n`` vectors at once."""
+    return max(1, min(512, (1 << 25) // max(1, n)))
+
+
+def _build(
+    k: int, width: int, ef: int, build_ef: int, m: int, target: float, fitted: np.ndarray, subs: list[int], probes: int, reach: float, exhaustive: bool
+):
     schema = to_arrow_schema(T._parse_datatype_string(_OUT))
 
     def batch(rows: int, **columns: object) -> pa.RecordBatch:
@@ -353,14 +413,21 @@ def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[i
         rids, v = rows.column(2).to_pylist(), _matrix(rows.column(6), width)
         r = np.arange(first, first + len(v))
         exact, place = unit(v), _places(rids)
-        graph = Graph(exact, m, ef + 8)
-        near, sims = _ranked(exact, graph.search(exact, ef), exact, r, place, r, k)
+        graph = Graph(exact, m, build_ef)
+        beam_ = 0 if exhaustive else wide_enough(graph, exact, k, ef, target)
+        if exhaustive:
+            step = _step(len(r))
+            parts = [_ranked(exact[a : a + step], _scan(exact[a : a + step], exact, k + 1), exact, r, place, r[a : a + step], k) for a in range(0, len(r), step)]
+            wide = max(p[1].shape[1] for p in parts)
+            near, sims = (np.concatenate([np.pad(p[i], ((0, 0), (0, wide - p[i].shape[1])), constant_values=-9) for p in parts]) for i in (0, 1))
+        else:
+            near, sims = _ranked(exact, graph.search(exact, beam_), exact, r, place, r, k)
         lists = _lists(near, sims)
         yield batch(len(r), r=r, near=lists[0], sim=lists[1], rid=rows.column(2), many=rows.column(3), h1=rows.column(4), h2=rows.column(5))
         links = np.concatenate([x.ravel() for x in graph.layers]).astype(np.int32)
         yield batch(
             1, shard=[shard], sub=[sub], vectors=[v[graph.order].astype(np.float32).tobytes()], order_=[graph.order.astype(np.int32).tobytes()], links=[links.tobytes()],
-            widths=[[x.shape[1] for x in graph.layers]], sizes=[[len(x) for x in graph.layers]], own=[r.tolist()], rids=[rids],
+            widths=[[x.shape[1] for x in graph.layers]], sizes=[[len(x) for x in graph.layers]], own=[r.tolist()], rids=[rids], ef=[beam_],
         )
         # Where else: the sine of the angle to the plane between the centroids bounds the similarity behind it.
         c = fitted.astype(np.float64)
@@ -370,15 +437,18 @@ def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[i
         kth = np.maximum(sims[:, k - 1], -1) if sims.shape[1] >= k else np.full(len(r), -1.0)
         bound[:, shard] = -9
         best = np.argsort(-bound, axis=1, kind="stable")[:, :probes]
-        who, nth = np.nonzero(1 - np.take_along_axis(bound, best, 1) <= np.where(kth > -1, reach * (1 - kth), 3)[:, None] + 1e-6)
+        far = np.where(kth > -1, 1 - kth if exhaustive else reach * (1 - kth), 3)[:, None]
+        who, nth = np.nonzero(1 - np.take_along_axis(bound, best, 1) <= far + 1e-6)
         to = best[who, nth]
-        places = [(w, t, x) for w, t in zip(who.tolist(), to.tolist(), strict=True) if t != shard for x in range(subs[t])]
-        places += [(w, shard, x) for x in range(subs[shard]) if x != sub for w in range(len(r))]
-        for at in range(0, len(places), 10_000):
-            w, t, x = zip(*places[at : at + 10_000], strict=True)
-            w = np.array(w)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * width), pa.array(v[w].astype(np.float32).ravel()))
-            yield batch(len(w), shard=t, sub=x, r=r[w], v=flat)
+        # (member, shard, part of it) of the visits, a block of members of one target at a time.
+        visits = [(who[to == t], t, x) for t in np.unique(to).tolist() if t != shard for x in range(subs[t])]
+        visits += [(np.arange(len(r)), shard, x) for x in range(subs[shard]) if x != sub]
+        raw = v.astype(np.float32)
+        for members, t, x in visits:
+            for at in range(0, len(members), 10_000):
+                w = members[at : at + 10_000]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * width), pa.array(raw[w].ravel()))
+                yield batch(len(w), shard=np.full(len(w), t, np.int32), sub=np.full(len(w), x, np.int32), r=r[w], v=flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, wait, first = None, [], TaskContext.get().partitionId() << 40
@@ -405,7 +475,7 @@ def _build(k: int, width: int, ef: int, m: int, fitted: np.ndarray, subs: list[i
     return run
 
 
-def _visit(k: int, width: int, ef: int):
+def _visit(k: int, width: int, exhaustive: bool):
     def run(visits: pa.Table, blob: pa.Table) -> pa.Table:
         names = ["r", "near", "sim"]
         if not visits.num_rows or not blob.num_rows:
@@ -417,9 +487,10 @@ def _visit(k: int, width: int, ef: int):
         exact[graph.order] = unit(np.frombuffer(one["vectors"], np.float32).reshape(-1, width))
         r, v = visits.column("r").combine_chunks().to_numpy(), _matrix(visits.column("v").combine_chunks(), width)
         parts = []
-        for at in range(0, len(r), 4096):
-            q = unit(v[at : at + 4096])
-            near, sims = _ranked(q, graph.search(q, ef), exact, own, place, r[at : at + 4096], k)
+        block = _step(len(own)) if exhaustive else 4096
+        for at in range(0, len(r), block):
+            q = unit(v[at : at + block])
+            near, sims = _ranked(q, _scan(q, exact, k) if exhaustive else graph.search(q, one["ef"]), exact, own, place, r[at : at + block], k)
             parts.append(pa.Table.from_arrays([pa.array(r[at : at + 4096]), *_lists(near, sims)], names=names))
         return pa.concat_tables(parts)
 

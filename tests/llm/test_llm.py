@@ -371,6 +371,21 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(got, want, strict=True)]) > 0.95
 
 
+def test_hot_regions_get_more_centroids(spark):
+    rng = np.random.default_rng(8)
+    dense = hnsw.unit(np.array([1.0, *[0.0] * 15]) + 0.05 * rng.normal(size=(3000, 16)))
+    x = np.concatenate((dense, hnsw.unit(rng.normal(size=(1000, 16)))))
+    first = hnsw.centroids(x, 4)
+    first[1:] = hnsw.unit(rng.normal(size=(3, 16)))
+    first[0] = dense[0]
+    c = hnsw.split_hot(x, first, len(x), 200, 800)
+    sizes = np.bincount(hnsw._nearest(x.astype(np.float32), c.astype(np.float32), 1)[:, 0])
+    assert len(c) > len(first) and sizes.max() <= 800
+    df = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id string, embedding array<float>")
+    got = hnsw.neighbours(df, width=16, shard_size=100, sample=400).groupBy("id").count().where("count = 5").count()
+    assert got == 4000
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 8)).astype(np.float32)
@@ -392,6 +407,11 @@ def test_neighbours(spark):
         assert len(got[i]) == 5
     assert set(got) == set(ids) and hits / total > 0.9
     assert got["c8"] == {"000", "c0", "c1", "c2", "c3"} and got["s"] >= {"001"}
+    found = {}
+    for r in hnsw.neighbours(df, width=8, shard_size=40, sample=200, exact=True).collect():
+        found.setdefault(r.id, set()).add(r.neighbour)
+    for a, i in enumerate(ids):
+        assert found[i] == {ids[b] for b in sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-s[a, b], ids[b]))[:5]}
     assert hnsw.neighbours(df.limit(0), width=8).count() == 0
     assert hnsw.neighbours(df.where("id = '001'"), width=8).count() == 0
 

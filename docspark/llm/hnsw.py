@@ -4,12 +4,11 @@ Equal vectors are searched once; their rows come back through their smallest ids
 one search. Centroids, fitted on a bounded sample of vectors (``sample`` rows), send each vector to its shard; where the
 sample shows that a shard would hold several times as many vectors as others, it gets more centroids, so hot regions become
 several shards. In each shard a graph is built in growing batches and stored as flat neighbour arrays, one for each layer,
-with its vectors; how wide a beam the graph needs is measured on a sample of its members. Each member is searched in its own
-graph; the similarity of its k-th neighbour then tells which other
-shards may well hold a better one (a shard lies behind the plane midway between the two centroids), and the member is
-searched there as well, in up to ``probes`` shards, nearest first: those whose plane is nearer than ``reach`` times the k-th
-neighbour, by 1 - similarity. Similarities are computed again in double precision, rounded to 6 decimals, and the results of
-the shards are merged, ties to the smaller id.
+with its vectors; how wide a beam the graph needs is measured on a sample of its members. Each member is searched in its
+own graph; the similarity of its k-th neighbour then tells which other shards may well hold a better one (a shard lies
+behind the plane midway between the two centroids), and the member is searched there as well, in up to ``probes`` shards,
+nearest first: those whose plane is nearer than ``reach`` times the k-th neighbour, by 1 - similarity. Similarities are
+computed again in double precision, rounded to 6 decimals, and the results of the shards are merged, ties to the smaller id.
 
 ``exact=True`` is the exact way: shards are scanned instead of walked, and every shard is visited that can hold a better
 vector, which the plane decides rigorously; it costs what it takes.

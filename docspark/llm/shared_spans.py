@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -204,22 +204,13 @@ def shared_spans(
     windows = parts.where("h is null")
     full = windows.groupBy("f1", "f2").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a <> b")
     hot = windows.join(full.select("f1", "f2"), ["f1", "f2"]).select("__id", F.col("at").cast("long").alias("s"), (F.col("at") + length).cast("long").alias("e"))
-    found = cool.unionByName(hot).groupBy("__id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    # Spans of one record, no more than its characters: merged in order.
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["e"] >= x["s"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], x["e"]).alias("e"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
-    )
-    return found.select(F.col("__id").alias(id_col), F.explode(merged).alias("x")).select(
-        id_col, F.col("x.s").alias("span_start"), F.col("x.e").alias("span_end")
-    )
+    # Spans that touch or overlap are one: a new one begins beyond all ends before it.
+    order = Window.partitionBy("__id").orderBy("s", "e")
+    so_far = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = cool.unionByName(hot).withColumn("new", F.when(so_far.isNull() | (F.col("s") > so_far), 1).otherwise(0))
+    parted = marked.withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = parted.groupBy("__id", "nth").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end"))
+    return merged.select(F.col("__id").alias(id_col), "span_start", "span_end")
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:

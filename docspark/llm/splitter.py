@@ -22,8 +22,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,8 +113,9 @@ def _ranges(texts: DataFrame, limit: int, range_chars: int) -> DataFrame:
     return exploded.select(*[c for c in texts.columns if c != "__text"], "r", base.alias("base"), n.alias("size"), F.substring(F.col("__text"), base + 1, stop - base).alias("part"))
 
 
-def _oversized(texts: DataFrame, key: str, text_col: str, limit: int) -> DataFrame:
-    return texts.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).where(F.length("__text") > limit)
+def _oversized(texts: DataFrame, key: str, text_col: str, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    kept = [F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)]
+    return texts.select(*kept, F.col(key).alias("__key"), F.col(text_col).alias("__text")).where(F.length("__text") > limit)
 
 
 def boundaries(texts: DataFrame, key: str = "id", text_col: str = "content", limit: int = LIMIT, range_chars: int = RANGE) -> DataFrame:
@@ -168,42 +171,44 @@ def pieces(
     1, in characters from 0. ``range_chars`` is at least three times ``limit``."""
     if range_chars < 3 * limit or overlap * 2 >= limit:
         raise ValueError("ranges must hold three pieces, and pieces two overlaps")
-    parts = _ranges(_oversized(texts, key, text_col, limit), limit, range_chars)
-    names = ["__key", "r", "nth", "piece_start", "own_start", "piece_end", "boundary", "piece"]
-    kinds = [parts.schema["__key"].dataType, *[T.LongType()] * 5, T.StringType(), T.StringType()]
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])
+    parts = _ranges(_oversized(texts, key, text_col, limit, keep), limit, range_chars)
+    along = [f"__keep{i}" for i in range(len(keep))] + ["__key"]  # these go through as they are
+    names = [*along, "r", "nth", "piece_start", "own_start", "piece_end", "boundary", "piece"]
+    made = [*[T.LongType()] * 5, T.StringType(), T.StringType()]
+    schema = T.StructType([*(T.StructField(c, parts.schema[c].dataType) for c in along), *(T.StructField(n, t) for n, t in zip(names[len(along) :], made, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for k, r, base, size, part in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(5)), strict=True):
+                rows, part_ = [], batch.slice(at, 256)
+                for i, (r, base, size, part) in enumerate(zip(*(part_.column(len(along) + c).to_pylist() for c in range(4)), strict=True)):
                     start = _range_cut(part, r * range_chars - base, limit) if r else 0
                     nominal = (r + 1) * range_chars
                     stop = _range_cut(part, nominal - base, limit) if nominal < size else size - base
                     for n, (back, a, b, unit) in enumerate(cuts(part, start, stop, limit, overlap)):
                         kind = (*UNITS, "none")[unit]
-                        rows.append((k, r, n, back + base, a + base, b + base, kind, part[back:b]))
+                        rows.append((i, r, n, back + base, a + base, b + base, kind, part[back:b]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(t)) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    who, *columns = zip(*rows, strict=True)
+                    who = pa.array(who)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part_.column(c).take(who) for c in range(len(along))), *(pa.array(c, to_arrow_type(t)) for c, t in zip(columns, made, strict=True))], names=names
+                    )
 
     cut = parts.mapInArrow(run, schema)
     counts = cut.groupBy("__key", "r").agg(F.count("*").alias("n"))
     before = Window.partitionBy("__key").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__key", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = cut.join(counts, ["__key", "r"]).withColumn("piece_no", (F.col("base") + F.col("nth") + 1).cast("int"))
-    kept = texts.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
-    return numbered.join(kept, "__key").select(
+    return numbered.select(
         F.col("__key").alias(key), *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], "piece_no", "piece_start", "own_start", "piece_end", "boundary", "piece"
     )
 
 
 def split_files(spark, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 20) -> DataFrame:
-    """(path, piece_no, own_start, own_end, boundary, piece) of text files in UTF-8: each worker opens a file at its byte
-    range and reads no more than that and the halos. own_start and own_end are characters from 0."""
-    import os
-
-    rows = [(p, r, os.path.getsize(p)) for p in paths for r in range(-(-os.path.getsize(p) // range_bytes))]
+    """(path, piece_no, own_start, own_end, boundary, piece) of text files in UTF-8, or of those in folders, on any file
+    system that pyarrow reads: each worker opens a file at its byte range and reads no more than that and the halos. Files are
+    listed and ranges are made by the executors. own_start and own_end are characters from 0."""
     names = ["path", "r", "nth", "own_start", "own_end", "chars", "boundary", "piece"]
     schema = "path string, r long, nth long, own_start long, own_end long, chars long, boundary string, piece string"
 
@@ -219,9 +224,9 @@ def split_files(spark, paths: list[str], limit: int = LIMIT, overlap: int = OVER
             for path, r, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 low, high = r * range_bytes, min((r + 1) * range_bytes, size)
                 base, end = max(low - 8 * limit, 0), min(high + 4 * limit, size)
-                with open(path, "rb") as file:
-                    file.seek(base)
-                    data = file.read(end - base)
+                system, at = FileSystem.from_uri(quote(path, safe=":/%"))
+                with system.open_input_file(at) as file:
+                    data = file.read_at(end - base, base)
                 _, text = whole(data)
                 # The range's limits in characters of ``text``.
                 tail = lambda at: len(whole(data[at - base :])[1])  # noqa: B023, E731
@@ -232,9 +237,9 @@ def split_files(spark, paths: list[str], limit: int = LIMIT, overlap: int = OVER
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
-    if not rows:
-        return spark.createDataFrame([], "path string, piece_no int, own_start long, own_end long, boundary string, piece string")
-    cut = spark.createDataFrame(rows, "path string, r long, size long").repartition(min(len(rows), 10_000)).mapInArrow(run, schema)
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")  # not their content
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes))).alias("r"), "length")
+    cut = ranges.repartition("path", "r").mapInArrow(run, schema)
     sums = cut.groupBy("path", "r").agg(F.count("*").alias("n"), F.max("chars").alias("c"))
     before = Window.partitionBy("path").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("path", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))

@@ -1,7 +1,8 @@
 """Encoding of a corpus with a public byte-level vocabulary (tiktoken with a local rank file).
 
-The rank file is a parameter: base64 token, space, id on each line. Long texts are cut at places where the pre-splitting
-pattern cuts in any case (a space between two visible characters), so that a text's ids don't depend on the cutting.
+The rank file is a parameter: base64 token, space, id on each line; it is sent to the executors. Long texts are cut at places
+where the pre-splitting pattern cuts in any case (a space or a line end between two visible characters, and where letters,
+digits and signs meet), so that a text's ids don't depend on the cutting.
 
 Defined results: an empty text and a null text both get an empty list of ids; no row is dropped or repeated; equal rows
 get equal ids. Control strings such as ``<|endoftext|>`` in a text are ordinary text.
@@ -10,21 +11,26 @@ get equal ids. Control strings such as ``<|endoftext|>`` in a text are ordinary
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.session import ship_file
+
 #: Fixed value: the pre-splitting pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPAN = 20_000
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+# Places: before a lone space, behind a lone line end, behind letters before anything else that is visible, behind digits likewise.
+# Not behind a sign before a letter, as an apostrophe takes some letters with it.
+_SAFE = regex.compile(r"(?<=\S)(?= \S)|(?<=\S\n)(?=\S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 
 
 @lru_cache(maxsize=4)
@@ -68,8 +74,10 @@ def encode_corpus(
     """(id_col, ids array<int>), a row for each row of ``docs``; one pass, no shuffle."""
     slim = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = T.StructType([T.StructField(id_col, slim.schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    name = ship_file(docs.sparkSession, rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_file = SparkFiles.get(name)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -84,10 +92,12 @@ def encode_corpus(
 
 def decode_corpus(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", pattern: str = PATTERN) -> DataFrame:
     """(id_col, text) of the rows of :func:`encode_corpus`; null ids give the empty text."""
+    name = ship_file(encoded.sparkSession, rank_file)
     slim = encoded.select(F.col(id_col), F.col("ids"))
     schema = T.StructType([T.StructField(id_col, slim.schema[0].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_file = SparkFiles.get(name)
         for batch in batches:
             texts = [decode_bytes(x or [], rank_file, pattern).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])

@@ -316,8 +316,11 @@ def test_files_are_read_in_ranges(spark, tmp_path):
     text = "".join(_text(rng, 500) + "é漢 " for _ in range(40))
     (tmp_path / "a.txt").write_text(text, encoding="utf-8")
     (tmp_path / "b.txt").write_text("", encoding="utf-8")
-    got = splitter.split_files(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], limit=60, overlap=0, range_bytes=2_000).orderBy("piece_no").collect()
-    assert "".join(r.piece for r in got) == text and all(text[r.own_start : r.own_end] == r.piece for r in got)
+    (tmp_path / "c d.txt").write_text("short", encoding="utf-8")
+    got = splitter.split_files(spark, [str(tmp_path)], limit=60, overlap=0, range_bytes=2_000).orderBy("piece_no")
+    pieces = [r for r in got.collect() if r.path.endswith("a.txt")]
+    assert "".join(r.piece for r in pieces) == text and all(text[r.own_start : r.own_end] == r.piece for r in pieces)
+    assert [r.piece for r in got.collect() if "d.txt" in r.path] == ["short"]
 
 
 # 6
@@ -440,10 +443,12 @@ def test_tokens(spark):
 def test_spans_keep_the_ids():
     rng = random.Random(8)
     enc = tokens.encoding(rank_file())
-    for _ in range(100):
-        text = "".join(rng.choice(["a", " ", "  ", "1", ".", "'s", "\n", "é", " b"]) for _ in range(200))
+    for _ in range(400):
+        text = "".join(rng.choice(["a", " ", "  ", "1", ".", "'s", "\n", "é", " b", "字", "。", "e\u0301", "'", "ll", "٣", "\t", "\u00a0", "😀", "\u3000"]) for _ in range(200))
         assert "".join(tokens.spans(text, 10)) == text
         assert [i for s in tokens.spans(text, 10) for i in enc.encode_ordinary(s)] == enc.encode_ordinary(text)
+    for text in ("字符。" * 500, "ab12" * 500, "x\n" * 500):  # long texts without a blank are cut as well
+        assert max(map(len, tokens.spans(text, 100))) < 110 and [i for s in tokens.spans(text, 100) for i in enc.encode_ordinary(s)] == enc.encode_ordinary(text)
 
 
 # 9

@@ -42,12 +42,22 @@ VISITORS = 1 << 17
 
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The best ``ef`` nodes for each row of ``q`` that a walk from its ``entry`` nodes finds: ids (-1: none) and
-    similarities, best first. links: the neighbours of each node, -1 where there is none."""
+    similarities, best first. links: the neighbours of each node, -1 where there is none. What is noted for a block of rows
+    and all nodes stays within a few megabytes."""
+    padded = np.concatenate((links, np.full((1, links.shape[1]), -1, links.dtype)))  # the last row: of no node
+    step = max(32, min(1024, (1 << 21) // (len(x) + 1)))
+    if len(q) <= step:
+        return _beam(x, padded, q, entry, ef, wide)
+    parts = [_beam(x, padded, q[a : a + step], entry[a : a + step], ef, wide) for a in range(0, len(q), step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _beam(x: np.ndarray, padded: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
     b, n = len(q), len(x)
-    rows = np.arange(b)[:, None]
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True  # stands for -1
-    seen[rows, entry] = True
+    seen[np.arange(b)[:, None], entry] = True
+    stamp = np.empty(b * (n + 1), np.int32)
     ids = np.full((b, ef), -1, np.int64)
     sims = np.full((b, ef), NONE, np.float32)
     k = min(entry.shape[1], ef)
@@ -60,30 +70,35 @@ def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
     wide = min(wide, ef)
     while len(active):
         open_sims = np.where(done[active], NONE, sims[active])
-        pick = np.argsort(-open_sims, axis=1, kind="stable")[:, :wide]
+        pick = np.argpartition(-open_sims, wide - 1, axis=1)[:, :wide] if wide < ef else np.tile(np.arange(ef), (len(active), 1))
         live = np.take_along_axis(open_sims, pick, 1) > NONE
-        going = live[:, 0]
-        active, pick, live = active[going], pick[going], live[going]
-        if not len(active):
-            break
-        nodes = np.where(live, np.take_along_axis(ids[active], pick, 1), -1)
+        going = live.any(1)
+        if not going.all():
+            active, pick, live = active[going], pick[going], live[going]
+            if not len(active):
+                break
+        nodes = np.where(live, ids[active[:, None], pick], n)
         done[active[:, None], pick] = True
-        near = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(active), -1)
-        near.sort(axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near = np.where(seen[active[:, None], near], -1, near)
-        seen[active[:, None], near] = True
-        keep = near >= 0
-        width = int(keep.sum(1).max(initial=0))
-        if not width:
+        near = padded[nodes].reshape(len(active), -1)
+        row, column = np.nonzero(~seen[active[:, None], near])
+        if not len(row):
             continue
-        order = np.argsort(~keep, axis=1, kind="stable")[:, :width]
-        near = np.take_along_axis(near, order, 1)
-        got = np.einsum("bd,bkd->bk", q[active], x[near])
-        got[near < 0] = NONE
-        all_ids = np.concatenate((ids[active], near), 1)
-        all_sims = np.concatenate((sims[active], got), 1)
-        all_done = np.concatenate((done[active], near < 0), 1)
+        node, who = near[row, column], active[row]
+        place = who * (n + 1) + node
+        stamp[place] = np.arange(len(place), dtype=np.int32)
+        once = stamp[place] == np.arange(len(place), dtype=np.int32)  # of what comes twice the last
+        row, node, who = row[once], node[once], who[once]
+        seen[who, node] = True
+        count = np.bincount(row, minlength=len(active))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        width = int(count.max())
+        new_ids = np.full((len(active), width), -1, np.int64)
+        new_ids[row, at] = node
+        new_sims = np.matmul(x[new_ids], q[active][:, :, None])[:, :, 0]
+        new_sims[new_ids < 0] = NONE
+        all_ids = np.concatenate((ids[active], new_ids), 1)
+        all_sims = np.concatenate((sims[active], new_sims), 1)
+        all_done = np.concatenate((done[active], new_ids < 0), 1)
         top = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
         ids[active], sims[active], done[active] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
     top = np.argsort(-sims, axis=1, kind="stable")
@@ -197,7 +212,7 @@ class Graph:
 
 
 def wide_enough(graph: Graph, x: np.ndarray, k: int, ef: int, target: float, sample: int = 128) -> int:
-    """The width of the beam, ``ef`` or a doubling of it, that finds ``target`` of the ``k`` nearest of ``sample`` vectors of
+    """The width of the beam, ``ef`` or half as much again and so on, that finds ``target`` of the ``k`` nearest of ``sample`` vectors of
     the graph's own, which are compared with all. Dense regions need wider beams than others."""
     some = np.unique(np.linspace(0, len(x) - 1, min(len(x), sample)).astype(int))
     s = x[some] @ x.T
@@ -211,7 +226,7 @@ def wide_enough(graph: Graph, x: np.ndarray, k: int, ef: int, target: float, sam
         found = (np.take_along_axis(s, ids, 1) >= last) & (ids >= 0)
         if np.minimum(found.sum(1), k).mean() >= target * k:
             break
-        ef *= 2
+        ef = ef * 3 // 2
     return ef
 
 
@@ -285,7 +300,7 @@ _OUT = (
 
 def neighbours(
     rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 8, reach: float = 0.1,
-    shard_size: int = 2_048, sample: int = 50_000, ef: int = 12, build_ef: int = 48, m: int = 16, target: float = 0.992, exact: bool = False,
+    shard_size: int = 2_048, sample: int = 50_000, ef: int = 12, build_ef: int = 48, m: int = 16, target: float = 0.99, exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour, similarity): of each usable row the ``k`` rows with the most similar vectors, not itself."""
     v = F.col("v")
@@ -319,7 +334,9 @@ def neighbours(
     visits = built.where("v is not null").select("shard", "sub", "r", "v")
     blobs = built.where("vectors is not null").select("shard", "sub", "vectors", "order_", "links", "widths", "sizes", "own", "rids", "ef")
     # A shard with many visitors is read by several tasks.
+    # One row for each shard, of which there are at most about sqrt(n / 64).
     tasks = visits.groupBy("shard", "sub").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("tasks"))
+    tasks = F.broadcast(tasks)
     visits = visits.join(tasks, ["shard", "sub"]).withColumn("task", F.pmod(F.xxhash64("r"), F.col("tasks")).cast("int")).drop("tasks")
     blobs = blobs.join(tasks, ["shard", "sub"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     by = ["shard", "sub", "task"]

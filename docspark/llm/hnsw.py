@@ -40,7 +40,7 @@ NONE = np.float32(-4)
 VISITORS = 1 << 17
 
 
-def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """The best ``ef`` nodes for each row of ``q`` that a walk from its ``entry`` nodes finds: ids (-1: none) and
     similarities, best first. links: the neighbours of each node, -1 where there is none. What is noted for a block of rows
     and all nodes stays within a few megabytes."""
@@ -118,7 +118,8 @@ def spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarr
         good = (ids[:, k] >= 0) & (sims[:, k] > closest[:, k]) & (count < m)
         taken[:, k] = good
         count += good
-        closest = np.where(good[:, None], np.maximum(closest, between[:, k, :]), closest)
+        if len(rows := np.flatnonzero(good)) and k + 1 < c:
+            closest[rows, k + 1 :] = np.maximum(closest[rows, k + 1 :], between[rows, k, k + 1 :])
     rank = np.where(taken, 0, np.where(ids >= 0, 1, 2)) * c + np.arange(c)
     order = np.argsort(rank, axis=1)[:, :m]
     out = np.take_along_axis(ids, order, 1)
@@ -188,9 +189,12 @@ class Graph:
         keep = nth < width
         fresh = np.full((len(nodes), width), -1, np.int64)
         fresh[np.searchsorted(nodes, target[keep]), nth[keep]] = source[keep]
-        for at in range(0, len(nodes), 1024):
-            own = nodes[at : at + 1024]
-            ids = np.concatenate((links[own], fresh[at : at + 1024]), 1)
+        most = np.argsort((fresh < 0).sum(1), kind="stable")  # those with as many new ones together
+        nodes, fresh = nodes[most], fresh[most]
+        for at in range(0, len(nodes), 512):
+            own = nodes[at : at + 512]
+            new = fresh[at : at + 512]
+            ids = np.concatenate((links[own], new[:, : int((new >= 0).sum(1).max())]), 1)
             ids.sort(axis=1)
             ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
             sims = np.einsum("bd,bkd->bk", x[own], x[ids])
@@ -320,10 +324,10 @@ def neighbours(
     # Where even more centroids don't part the vectors, a hash of them does.
     subs = [max(1, math.ceil(x / limit)) for x in share.tolist()]
     numbers = F.array(*[F.lit(x) for x in subs])  # for each centroid
-    reps = usable.groupBy("v").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"))
     print_ = (F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
+    reps = usable.select("id", *print_, "v").groupBy("h1", "h2").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"), F.first("v").alias("v"))
     built = (
-        _assigned(reps.select("rid", "many", *print_, "v"), fitted, width)
+        _assigned(reps.select("rid", "many", "h1", "h2", "v"), fitted, width)
         .withColumn("sub", F.pmod(F.col("h1"), F.element_at(numbers, F.col("shard") + 1)).cast("int"))
         .repartition("shard", "sub")
         .sortWithinPartitions("shard", "sub")

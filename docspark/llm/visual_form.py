@@ -15,6 +15,7 @@ texts have equal forms, and the form of a form is itself.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -65,7 +66,7 @@ def _pieces(c: str) -> str:
 @lru_cache(maxsize=1)
 def tables() -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[str, str]]]:
     """(character, its pieces with their combining classes) where they differ from the character with class 0, and
-    (decomposed cluster, character)."""
+    (decomposed syllable of jamo, or character and mark, composed character)."""
     pieces, composed = [], {}
     for o in range(1, sys.maxunicode + 1):
         c = chr(o)
@@ -75,18 +76,40 @@ def tables() -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[str, s
         if p != c or unicodedata.combining(c):
             pieces.append((c, [(x, unicodedata.combining(x)) for x in p]))
         if len(nfd := unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFC", nfd) == c and "".join(map(_pieces, nfd)) == nfd:
-            composed[nfd] = c
+            composed[nfd if 0xAC00 <= o <= 0xD7A3 else "".join(chr(int(x, 16)) for x in unicodedata.decomposition(c).split())] = c
     return pieces, sorted(composed.items())
 
 
-def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def _joining() -> str:
+    """The second characters of pairs that have class 0."""
+    return "".join(sorted({a[1] for a, b in tables()[1] if not "\uac00" <= b <= "\ud7a3" and not unicodedata.combining(a[1])}))
+
+
+def _tables(spark: SparkSession) -> tuple[DataFrame, tuple[DataFrame, Column]]:
     pieces, composed = tables()
+    jamo = [(a, b) for a, b in composed if "\uac00" <= b <= "\ud7a3"]
+    pairs = {a: b for a, b in composed if not "\uac00" <= b <= "\ud7a3"}
     return (
         F.broadcast(spark.createDataFrame(pieces, "ch string, pieces array<struct<c:string,ccc:int>>")),
-        F.broadcast(spark.createDataFrame(composed, "cluster string, composed string")),
+        (F.broadcast(spark.createDataFrame(jamo, "syllable string, composed string")), F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")),
     )
 
 
+def _composed(m: Column, pairs: Column) -> Column:
+    """The canonical composition of one cluster, its marks in order: each mark that isn't kept off by one of its own class
+    joins the character before it, if there is such a character."""
+    start = F.struct(m[0]["c"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+
+    def step(a: Column, x: Column) -> Column:
+        one = F.try_element_at(pairs, F.concat(a["base"], x["c"]))
+        free = (a["rest"] == "") | (a["last"] < x["ccc"])
+        joined = F.struct(one.alias("base"), a["rest"].alias("rest"), a["last"].alias("last"))
+        left = F.struct(a["base"].alias("base"), F.concat(a["rest"], x["c"]).alias("rest"), x["ccc"].alias("last"))
+        return F.when(one.isNotNull() & free, joined).otherwise(left)
+
+    return F.aggregate(F.slice(m, 2, 1 << 30), start, step, lambda a: F.concat(a["base"], a["rest"]))
+
+
 def needs_work(text: Column) -> Column:
     return text.rlike(f"[^{PLAIN}]")
 
@@ -98,20 +121,19 @@ def forms(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     parts = points.join(pieces, "ch", "left").select(
         key, "pos", F.posexplode(F.coalesce("pieces", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"))))).alias("sub", "x")
     )
-    order = Window.partitionBy(key).orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    # Jamo have class 0, but make one cluster with the syllable before them.
-    starts = (F.col("x.ccc") == 0) & ~F.col("x.c").rlike("[\\u1161-\\u1175\\u11A8-\\u11C2]")
-    numbered = parts.select(key, "pos", "sub", "x.c", F.col("x.ccc").alias("ccc"), F.sum(F.when(starts, 1).otherwise(0)).over(order).alias("cluster"))
+    sequence = Window.partitionBy(key).orderBy("pos", "sub")
+    # Some characters of class 0, jamo among them, make one cluster with another of class 0 right before them.
+    joins = F.col("x.c").rlike(f"[\\u1161-\\u1175\\u11A8-\\u11C2{_joining()}]") & (F.lag("x.ccc").over(sequence) == 0)
+    starts = (F.col("x.ccc") == 0) & ~F.coalesce(joins, F.lit(False))
+    numbered = parts.select(key, "pos", "sub", "x.c", F.col("x.ccc").alias("ccc"), starts.alias("starts"))
+    before = sequence.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = numbered.select(key, "pos", "sub", "c", "ccc", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(before).alias("cluster"))
     clusters = numbered.groupBy(key, "cluster").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "c"))).alias("m"))
-    text = F.array_join(F.transform("m", lambda x: x["c"]), "")
-    joined = clusters.select(key, "cluster", text.alias("whole"), F.size("m").alias("n"))
-    best = F.col("whole")
-    # The longest beginning of the cluster that has a character of its own; clusters with four marks and more stay as they are.
-    for size in (2, 3, 4):
-        table = composed.select(F.col("cluster").alias(f"k{size}"), F.col("composed").alias(f"v{size}"))
-        joined = joined.join(table, F.when(F.col("n") >= size, F.substring("whole", 1, size)) == F.col(f"k{size}"), "left")
-        rest = F.substring(F.col("whole"), F.lit(size + 1), F.length("whole"))
-        best = F.when(F.col(f"v{size}").isNotNull(), F.concat(f"v{size}", rest)).otherwise(best)
+    some = lambda keep: F.array_join(F.transform(F.filter("m", keep), lambda x: x["c"]), "")
+    syllables, pairs = composed
+    # Syllables of jamo are looked up as a whole, other clusters are composed mark by mark.
+    joined = clusters.select(key, "cluster", "m", some(lambda x: x["ccc"] == 0).alias("syllable"), some(lambda x: x["ccc"] != 0).alias("marks")).join(syllables, "syllable", "left")
+    best = F.coalesce(F.concat("composed", "marks"), F.when(F.size("m") == 1, F.col("m")[0]["c"]).otherwise(_composed(F.col("m"), pairs)))
     rebuilt = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cluster", best.alias("t")))).alias("a"))
     return rebuilt.select(key, F.array_join(F.transform("a", lambda x: x["t"]), "").alias("form"))
 
@@ -135,18 +157,24 @@ def with_form(df: DataFrame, text_col: str, out: str = "form") -> DataFrame:
     return plain.select(columns).unionByName(worked.select(columns))
 
 
-def look_alike_pairs(items: DataFrame) -> DataFrame:
-    """items: (item_kind, item_key, text). (item_kind, key_a, key_b): the pairs of a kind whose texts look the same but
-    aren't the same characters; only texts with a letter or digit. Items with the same text aren't paired; groups of one
-    text are left out before the join."""
-    said = items.where(F.col("text").rlike("[\\p{L}\\p{N}]"))
+def look_alike_classes(items: DataFrame) -> DataFrame:
+    """items: (item_kind, item_key, text). (item_kind, item_key, f, t): the members of each class ``f`` of a kind whose texts
+    look the same but aren't all the same characters; ``t`` tells the spellings apart. Only texts with a letter or digit; null
+    texts and keys belong to no class. One row for each item, however large the class."""
+    said = items.where(F.col("text").rlike("[\\p{L}\\p{N}]") & F.col("item_key").isNotNull())
     # One look at each text: of those that are their own form only hashes go on.
     seen = said.select("item_kind", "item_key", F.xxhash64("text").alias("t"), F.md5("text").alias("f"), F.when(needs_work(F.col("text")), F.col("text")).alias("odd"))
     seen = written(seen, "texts")
     worked = with_form(seen.where("odd is not null").drop("f"), "odd", "form").select("item_kind", "item_key", "t", F.md5("form").alias("f"))
     sides = seen.where("odd is null").select("item_kind", "item_key", "t", "f").unionByName(written(worked, "forms"))
     mixed = sides.groupBy("item_kind", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("item_kind", "f")
-    kept = sides.join(mixed, ["item_kind", "f"])
+    return sides.join(mixed, ["item_kind", "f"]).select("item_kind", "item_key", "f", "t").distinct()
+
+
+def look_alike_pairs(items: DataFrame) -> DataFrame:
+    """(item_kind, key_a, key_b) of the members of :func:`look_alike_classes`: the pairs whose texts aren't the same
+    characters. As many as there are: where pairs aren't needed, take the classes."""
+    kept = look_alike_classes(items)
     one, two = kept.alias("one"), kept.alias("two")
     same = (F.col("one.item_kind") == F.col("two.item_kind")) & (F.col("one.f") == F.col("two.f"))
     pair = same & (F.col("one.t") != F.col("two.t")) & (F.col("one.item_key") < F.col("two.item_key"))

@@ -105,12 +105,15 @@ def _range_cut(text: str, nominal: int, limit: int) -> int:
 
 
 def _ranges(texts: DataFrame, limit: int, range_chars: int) -> DataFrame:
-    """(key columns, r, base, size, part): each range with ``limit`` + ``limit`` characters before and ``limit`` after."""
-    n = F.length("__text")
-    exploded = texts.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / range_chars).cast("int"))))
-    base = F.greatest(F.col("r") * range_chars - 2 * limit, F.lit(0))
-    stop = F.least((F.col("r") + 1) * range_chars + limit, n)
-    return exploded.select(*[c for c in texts.columns if c != "__text"], "r", base.alias("base"), n.alias("size"), F.substring(F.col("__text"), base + 1, stop - base).alias("part"))
+    """(key columns, r, base, size, part): each range with ``limit`` + ``limit`` characters before and ``limit`` after. A text is
+    cut into ranges in one pass; the halos come from the ranges beside."""
+    others = [c for c in texts.columns if c != "__text"]
+    cut = texts.select(*others, F.length("__text").alias("size"), F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{range_chars}}}"), 0).alias("ranges"))
+    near = lambda x, i: F.coalesce(F.get(x, i), F.lit(""))
+    whole = lambda x, i: F.concat(F.substring(near(x, i - 1), -2 * limit, 2 * limit), F.get(x, i), F.substring(near(x, i + 1), 1, limit))
+    parts = F.transform("ranges", lambda _, i: F.struct(i.alias("r"), whole(F.col("ranges"), i).alias("part")))
+    each = cut.select(*others, "size", F.explode(parts).alias("x"))
+    return each.select(*others, "x.r", F.greatest(F.col("x.r") * range_chars - 2 * limit, F.lit(0)).alias("base"), "size", "x.part")
 
 
 def _oversized(texts: DataFrame, key: str, text_col: str, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:

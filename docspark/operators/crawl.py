@@ -23,15 +23,18 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def crawl_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = 300) -> DataFrame:
-    """edges: (src, dst); seeds: (url). (url, depth): the pages reached, each at its least depth, up to ``max_pages`` by
-    depth and url. Each level is one join, written once, so a lost executor costs a level at most."""
+    """edges: (src, dst); seeds: (url). (url, depth): the pages reached, each at its least depth, of each site up to
+    ``max_pages`` by depth and url. Each level is one join, written once, so a lost executor costs a level at most."""
     frontier = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     seen = frontier
     for depth in range(1, max_depth + 1):
         nxt = edges.join(frontier, edges.src == frontier.url, "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = written(nxt.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "level")
         seen = seen.unionByName(frontier)
-    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
+    if max_pages is None:
+        return seen
+    order = Window.partitionBy(authority(F.col("url"))).orderBy("depth", "url")
+    return seen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_pages).drop("nth")
 
 
 def by_site(links: DataFrame) -> DataFrame:

@@ -148,6 +148,19 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], out: str = "n") ->
     return ranged.join(F.broadcast(base), "__p").withColumn(out, number).drop("__p", "__m", "__low", "__base")
 
 
+def numbered_within(rows: DataFrame, key: str, ts: str, ties: Sequence[str | Column], out: str = "n") -> DataFrame:
+    """``rows`` numbered from 1 within each ``key`` in order of time, null times last: within its days, and over the counts of
+    the days, so that a key with very many rows isn't one task's."""
+    day = F.coalesce(F.to_date(ts), F.lit("9999-12-31").cast("date"))
+    dated = rows.withColumn("__day", day)
+    counts = dated.groupBy(key, "__day").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(key, "__day", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(key, "__day").orderBy(F.col(ts).asc_nulls_last(), *ties)
+    placed = dated.withColumn(out, F.row_number().over(within))
+    return placed.join(base, [key, "__day"]).withColumn(out, F.col(out) + F.col("__base")).drop("__day", "__base")
+
+
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """``rows`` with their batch number in order."""
     return numbered(rows, [order], "__n").withColumn("batch", (F.floor((F.col("__n") - 1) / size) + 1).cast("int")).drop("__n")

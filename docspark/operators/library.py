@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.config import Settings
 from docspark.functions.text import strip
-from docspark.operators.ingest import numbered
+from docspark.operators.ingest import numbered, numbered_within
 
 
 def dedup_registry(registry: DataFrame) -> DataFrame:
@@ -74,10 +74,17 @@ def running_hits(events: DataFrame, hit: str = "view", block: int = 100_000) ->
     return found.withColumn("hit_rate", F.round(F.col("hits") * 100 / F.col("requests"), 1))
 
 
-def rolling_latency_by_user(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(user_id, event_id, mean_latency): of each request the mean of the last 50 of its user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1 - settings.latency_window, 0)
-    return events.select("user_id", "event_id", F.round(F.avg("value").over(order), 8).alias("mean_latency"))
+def rolling_latency_by_user(events: DataFrame, settings: Settings = Settings(), block: int = 100_000) -> DataFrame:
+    """(user_id, event_id, mean_latency): of each request the mean of the last 50 of its user, in blocks like those of
+    :func:`rolling_latency`."""
+    n, before = F.col("n") - 1, settings.latency_window - 1
+    block = max(block, settings.latency_window)
+    rows = numbered_within(events.where("user_id is not null").select("user_id", "event_id", "ts", "value"), "user_id", "ts", ["event_id"])
+    own = F.floor(n / block)
+    blocks = F.when(n % block >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select("user_id", "event_id", "n", "value", F.explode(blocks).alias("block"), own.alias("own"))
+    order = Window.partitionBy("user_id", "block").orderBy("n").rowsBetween(-before, 0)
+    return rows.withColumn("mean", F.avg("value").over(order)).where("block = own").select("user_id", "event_id", F.round("mean", 8).alias("mean_latency"))
 
 
 def name_counts(rows: DataFrame, column: str) -> DataFrame:

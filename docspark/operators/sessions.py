@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.config import Settings
 from docspark.functions.text import conversation_title
+from docspark.operators.ingest import numbered_within
 
 
 def conversation_list(messages: DataFrame, limit: int | None = 50) -> DataFrame:
@@ -39,15 +40,16 @@ def message_explode(messages: DataFrame) -> DataFrame:
 
 def summary_triggers(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(session_id, message_id, message_count, last_questions): at every sixth message of a session, its last six
-    questions in order."""
-    order = Window.partitionBy("session_id").orderBy(F.col("timestamp").asc_nulls_last(), "message_id")
+    questions in order. These are the messages whose numbers make a full block of six."""
+    every = settings.summary_every
     one = messages.where("session_id is not null").groupBy("session_id", "message_id").agg(F.min("timestamp").alias("timestamp"), F.min("user_message").alias("q"))
-    n = F.row_number().over(order)
-    last = F.collect_list(F.coalesce("q", F.lit(""))).over(order.rowsBetween(1 - settings.summary_every, 0))
-    numbered = one.select("session_id", "message_id", n.alias("message_count"), last.alias("last"))
-    return numbered.where(F.col("message_count") % settings.summary_every == 0).select(
-        "session_id", "message_id", "message_count", F.array_join("last", " | ").alias("last_questions")
-    )
+    rows = numbered_within(one, "session_id", "timestamp", ["message_id"]).withColumn("block", F.floor((F.col("n") - 1) / every))
+    six = F.array_sort(F.collect_list(F.struct("n", F.coalesce("q", F.lit("")).alias("q"), "message_id")))
+    full = rows.groupBy("session_id", "block").agg(six.alias("six")).where(F.size("six") == every)
+    return full.select(
+        "session_id", F.element_at("six", -1)["message_id"].alias("message_id"), F.element_at("six", -1)["n"].cast("int").alias("message_count"),
+        F.array_join(F.transform("six", lambda x: x["q"]), " | ").alias("last_questions"),
+    )
 
 
 def feedback_rollup(feedback: DataFrame) -> DataFrame:
@@ -60,12 +62,14 @@ def feedback_rollup(feedback: DataFrame) -> DataFrame:
 
 
 def feedback_context(feedback: DataFrame, messages: DataFrame) -> DataFrame:
-    """(message_id, feedback, question, previous_question): what feedback is about, with the question asked before it."""
+    """(message_id, feedback, question, previous_question): what feedback is about, with the question asked before it. Only
+    messages with feedback are joined with those before them."""
     one = messages.where("session_id is not null").groupBy("session_id", "message_id").agg(F.min("timestamp").alias("ts"), F.max("user_message").alias("q"))
-    order = Window.partitionBy("session_id").orderBy(F.col("ts").asc_nulls_last(), "message_id")
-    before = one.select("message_id", F.col("q").alias("question"), F.lag("q").over(order).alias("previous_question"))
+    rows = numbered_within(one, "session_id", "ts", ["message_id"])
     valid = feedback.where(F.col("feedback").isin(0, 1)).select("message_id", "feedback").distinct()
-    return valid.join(before, "message_id").select("message_id", "feedback", "question", "previous_question")
+    asked = valid.join(rows.select("message_id", "session_id", "n", F.col("q").alias("question")), "message_id").withColumn("n", F.col("n") - 1)
+    before = rows.select("session_id", "n", F.col("q").alias("previous_question"))
+    return asked.join(before, ["session_id", "n"], "left").select("message_id", "feedback", "question", "previous_question")
 
 
 def latest_answers(messages: DataFrame, sources: DataFrame) -> DataFrame:

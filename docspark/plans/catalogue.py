@@ -281,9 +281,9 @@ def vector_topk(spark, d):
     return _vectors(spark, d).select("query_id", "id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM p WHERE s > 0.5) SELECT query_id, id, round(s, 4) AS similarity FROM t WHERE rank <= 20")
+@query(f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM p WHERE s > 0.2) SELECT query_id, id, round(s, 4) AS similarity FROM t WHERE rank <= 20")
 def vector_floor(spark, d):
-    return _vectors(spark, d, floor=0.5).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+    return _vectors(spark, d, floor=0.2).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
 @query(f"{TOP} SELECT query_id, threshold, count(*) FILTER (s >= threshold) AS hits FROM t, (SELECT unnest([0.79, 0.75, 0.72, 0.70, 0.65, 0.60])::DOUBLE AS threshold) WHERE rank <= 20 GROUP BY ALL")
@@ -1156,3 +1156,21 @@ def stream_entries(spark, d):
 def stream_seen(spark, d):
     links = ST.event_stream(spark, _arriving(spark, d)).select(F.col("event_type").alias("site"), F.col("user_id").cast("string").alias("url"), "ts")
     return ST.run_once(ST.first_seen(links), "seen").select("site", "url")
+
+
+@query("""SELECT * FROM (VALUES ('chunk_tokens', '300'), ('low_confidence', '0.8'), ('postprocess', 'false'), ('top_k', '8')) t(name, value)""")
+def settings_from_environment(spark, d):
+    """Numbers and switches from the environment: comments are left out, what can't be read keeps its default."""
+    import os
+
+    from docspark.config import from_environment
+
+    given = {"TRY_CHUNK_TOKENS": "300 # smaller", "TRY_LOW_CONFIDENCE": "0.8", "TRY_POSTPROCESS": "off", "TRY_TOP_K": "many"}
+    os.environ.update(given)
+    try:
+        found = from_environment("TRY_")
+    finally:
+        for name in given:
+            del os.environ[name]
+    values = [(n, str(getattr(found, n)).lower()) for n in ("chunk_tokens", "low_confidence", "postprocess", "top_k")]
+    return spark.createDataFrame(values, "name string, value string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docspark.functions.urls import local_name
 from docspark.schemas import STREAM_EVENTS
 from docspark.session import written
 
@@ -40,6 +41,15 @@ def read_files(spark: SparkSession, path: str, least: int = 2_048) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > least).select("path", "length", "content")
 
 
+def cached_files(wanted: DataFrame, folder: str, least: int = 2_048) -> DataFrame:
+    """wanted: (url). (url, name, path): the file that a link is kept in, and where it is if it is there already with more than
+    ``least`` bytes; null if it has to be fetched (again). Files are only listed."""
+    spark = wanted.sparkSession
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") > least)
+    there = there.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path").groupBy("name").agg(F.min("path").alias("path"))
+    return wanted.select("url", local_name(F.col("url")).alias("name")).join(there, "name", "left").select("url", "name", "path")
+
+
 def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The Parquet table at ``path``, or an empty one if there is none yet; any other error is one."""
     try:

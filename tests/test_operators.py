@@ -284,6 +284,49 @@ def test_entries_expire(spark, tmp_path):
     assert [g for g in got if g[0] < 3] == [(1, "a", "new"), (1, "b", "expired"), (1, "b", "refreshed"), (1, "c", "new"), (2, "x", "expired"), (2, "x", "new")]
 
 
+def test_polled_figures(spark, tmp_path):
+    import time
+
+    from docspark.streaming import stateful as ST
+
+    events = spark.createDataFrame([(1, 7, "view"), (2, 7, "buy")], "event_id bigint, user_id bigint, event_type string").selectExpr(
+        "event_id", "timestamp '2025-01-01 00:00:00' as ts", "user_id", "event_type", "cast(null as double) as value", "cast(null as string) as props"
+    )
+    events.write.parquet(str(tmp_path / "in"))
+    query = ST.polled(ST.hit_counts(ST.event_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c"), 1)
+    query.processAllAvailable()
+    time.sleep(0.1)
+    query.stop()
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(7, 1, 2)]
+
+
+def test_cached_files(spark, tmp_path):
+    from docspark.functions.urls import local_name
+
+    urls = spark.createDataFrame([("http://a.org/x.pdf",), ("http://a.org/y.pdf",), ("http://a.org/z.pdf",)], "url string")
+    names = {r.url: r.n for r in urls.select("url", local_name(F.col("url")).alias("n")).collect()}
+    (tmp_path / names["http://a.org/x.pdf"]).write_bytes(b"x" * 3000)
+    (tmp_path / names["http://a.org/y.pdf"]).write_bytes(b"broken")
+    got = {r.url: r.path for r in io.cached_files(urls, str(tmp_path)).collect()}
+    assert got["http://a.org/x.pdf"].endswith("x.pdf") and got["http://a.org/y.pdf"] is None and got["http://a.org/z.pdf"] is None
+
+
+def test_numbers_within_keys(spark):
+    rng = random.Random(3)
+    data = [(f"k{rng.randrange(3)}", f"2025-01-{rng.randrange(1, 5):02} 0{rng.randrange(9)}:00:00" if rng.random() < 0.9 else None, i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t string, i int").withColumn("ts", F.to_timestamp("t"))
+    got = {r.i: r.n for r in I.numbered_within(df, "k", "ts", ["i"]).collect()}
+    for key in ("k0", "k1", "k2"):
+        mine = sorted((d for d in data if d[0] == key), key=lambda d: (d[1] is None, d[1] or "", d[2]))
+        assert [got[d[2]] for d in mine] == list(range(1, len(mine) + 1))
+
+
+def test_pages_of_each_site(spark):
+    edges = spark.createDataFrame([("http://a/1", f"http://a/{i}") for i in range(2, 9)] + [("http://a/1", f"http://b/{i}") for i in range(3)], "src string, dst string")
+    got = C.crawl_levels(edges, spark.createDataFrame([("http://a/1",)], "url string"), 2, 3)
+    assert rows(got.select("url")) == [("http://a/1",), ("http://a/2",), ("http://a/3",), ("http://b/0",), ("http://b/1",), ("http://b/2",)]
+
+
 def test_extractors(spark, tmp_path):
     from docspark.cli import pages_of_files
 

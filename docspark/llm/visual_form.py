@@ -20,6 +20,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +90,13 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, tuple[DataFrame, Column]]:
     pieces, composed = tables()
     jamo = [(a, b) for a, b in composed if "\uac00" <= b <= "\ud7a3"]
     pairs = {a: b for a, b in composed if not "\uac00" <= b <= "\ud7a3"}
+    # As Arrow tables, which need no Python on the executors.
+    kind = pa.list_(pa.struct([("c", pa.string()), ("ccc", pa.int32())]))
+    parts = pa.table({"ch": [c for c, _ in pieces], "pieces": pa.array([[{"c": x, "ccc": n} for x, n in p] for _, p in pieces], kind)})
+    syllables = pa.table({"syllable": [a for a, _ in jamo], "composed": [b for _, b in jamo]})
     return (
-        F.broadcast(spark.createDataFrame(pieces, "ch string, pieces array<struct<c:string,ccc:int>>")),
-        (F.broadcast(spark.createDataFrame(jamo, "syllable string, composed string")), F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")),
+        F.broadcast(spark.createDataFrame(parts)),
+        (F.broadcast(spark.createDataFrame(syllables)), F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")),
     )
 
 

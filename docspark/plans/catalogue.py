@@ -1128,17 +1128,17 @@ def _arriving(spark, d):
 
 @query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 8) AS mean_latency FROM events")
 def stream_latency(spark, d):
-    return ST.run_once(ST.latency_ring(ST.event_stream(spark, _arriving(spark, d)), SETTINGS), "latency")
+    return ST.run_once(ST.latency_ring(ST.event_stream(spark, _arriving(spark, d)), SETTINGS), "latency", partitions=8)
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'view') AS hits, count(*) AS requests FROM events GROUP BY 1")
 def stream_hits(spark, d):
-    return ST.run_once(ST.hit_counts(ST.event_stream(spark, _arriving(spark, d))), "hits", mode="complete")
+    return ST.run_once(ST.hit_counts(ST.event_stream(spark, _arriving(spark, d))), "hits", mode="complete", partitions=8)
 
 
 @query("SELECT user_id, event_id, n AS count FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 6 = 0")
 def stream_triggers(spark, d):
-    return ST.run_once(ST.summary_trigger(ST.event_stream(spark, _arriving(spark, d)), SETTINGS), "triggers")
+    return ST.run_once(ST.summary_trigger(ST.event_stream(spark, _arriving(spark, d)), SETTINGS), "triggers", partitions=8)
 
 
 @query("""WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS before FROM events)
@@ -1149,13 +1149,13 @@ def stream_entries(spark, d):
     from dataclasses import replace
 
     entries = ST.event_stream(spark, _arriving(spark, d)).select(F.col("user_id").alias("entry_id"), F.col("event_id").cast("string").alias("result"), F.col("ts").alias("stored_at"))
-    return ST.run_once(ST.live_entries(entries, replace(SETTINGS, cache_ttl_seconds=3_600)), "entries").where("event <> 'expired'")
+    return ST.run_once(ST.live_entries(entries, replace(SETTINGS, cache_ttl_seconds=3_600)), "entries", partitions=8).where("event <> 'expired'")
 
 
 @query("SELECT DISTINCT event_type AS site, user_id::VARCHAR AS url FROM events")
 def stream_seen(spark, d):
     links = ST.event_stream(spark, _arriving(spark, d)).select(F.col("event_type").alias("site"), F.col("user_id").cast("string").alias("url"), "ts")
-    return ST.run_once(ST.first_seen(links), "seen").select("site", "url")
+    return ST.run_once(ST.first_seen(links), "seen", partitions=8).select("site", "url")
 
 
 @query("""SELECT * FROM (VALUES ('chunk_tokens', '300'), ('low_confidence', '0.8'), ('postprocess', 'false'), ('top_k', '8')) t(name, value)""")

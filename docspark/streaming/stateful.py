@@ -97,16 +97,23 @@ def first_seen(links: DataFrame) -> DataFrame:
     return links.dropDuplicates(["site", "url"])
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """All that is there now, written as a table to the shared folder. In complete mode each batch replaces the one before."""
+def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """All that is there now, written as a table to the shared folder. In complete mode each batch replaces the one before.
+    ``partitions``: of the state, which a new checkpoint keeps for good; the session's setting if not given."""
     spark = stream.sparkSession
     path = new_path(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_path(spark, f"checkpoint-{name}")).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", path).start()
-    else:
-        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
-    query.awaitTermination()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        if mode == "append":
+            query = writer.format("parquet").option("path", path).start()
+        else:
+            query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(stream.schema).parquet(path)
 
 

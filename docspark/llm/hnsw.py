@@ -298,7 +298,7 @@ class Stored(Graph):
 
 _OUT = (
     "shard int, sub int, r long, near array<long>, sim array<double>, rid string, many boolean, h1 long, h2 long, v array<float>, "
-    "vectors binary, order_ binary, links binary, widths array<int>, sizes array<int>, own array<long>, rids array<string>, ef int"
+    "vectors binary, order_ binary, links binary, widths array<int>, sizes array<int>, own array<long>, rids array<string>, ef int, kth double"
 )
 
 
@@ -325,17 +325,21 @@ def neighbours(
     subs = [max(1, math.ceil(x / limit)) for x in share.tolist()]
     numbers = F.array(*[F.lit(x) for x in subs])  # for each centroid
     print_ = (F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
-    reps = usable.select("id", *print_, "v").groupBy("h1", "h2").agg(F.min("id").alias("rid"), (F.min("id") < F.max("id")).alias("many"), F.first("v").alias("v"))
-    built = (
-        _assigned(reps.select("rid", "many", "h1", "h2", "v"), fitted, width)
+    # Copies are put together within batches first, then where their shard is, so that vectors are shuffled once.
+    reps = (
+        _assigned(usable.select("id", *print_, "v"), fitted, width)
         .withColumn("sub", F.pmod(F.col("h1"), F.element_at(numbers, F.col("shard") + 1)).cast("int"))
         .repartition("shard", "sub")
-        .sortWithinPartitions("shard", "sub")
+        .groupBy("shard", "sub", "h1", "h2")
+        .agg(F.min("least").alias("rid"), (F.min("least") < F.max("most")).alias("many"), F.first("v").alias("v"))
+    )
+    built = (
+        reps.sortWithinPartitions("shard", "sub")
         .select("shard", "sub", "rid", "many", "h1", "h2", "v")
         .mapInArrow(_build(k, width, ef, build_ef, m, target, fitted, subs, len(fitted) if exact else probes, reach, exact), _OUT)
     )
     built = written(built, "graphs")
-    visits = built.where("v is not null").select("shard", "sub", "r", "v")
+    visits = built.where("v is not null").select("shard", "sub", "r", "v", "kth")
     blobs = built.where("vectors is not null").select("shard", "sub", "vectors", "order_", "links", "widths", "sizes", "own", "rids", "ef")
     # A shard with many visitors is read by several tasks.
     # One row for each shard, of which there are at most about sqrt(n / 64).
@@ -345,7 +349,7 @@ def neighbours(
     blobs = blobs.join(tasks, ["shard", "sub"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     by = ["shard", "sub", "task"]
     blobs = blobs.select(*[F.col(c).alias(f"b_{c}") for c in by], *[c for c in blobs.columns if c not in by])
-    visits = visits.select(*[F.col(c).alias(f"v_{c}") for c in by], "r", "v")
+    visits = visits.select(*[F.col(c).alias(f"v_{c}") for c in by], "r", "v", "kth")
     reps = built.where("near is not null")
     seen = visits.groupBy(*[f"v_{c}" for c in by]).cogroup(blobs.groupBy(*[f"b_{c}" for c in by])).applyInArrow(_visit(k, width, exact), "r long, near array<long>, sim array<double>")
     found = reps.select("r", "near", "sim").unionByName(seen)
@@ -371,16 +375,29 @@ def neighbours(
     )
 
 
-def _assigned(reps: DataFrame, fitted: np.ndarray, width: int) -> DataFrame:
-    """``reps``, whose last column is the vector, with its shard."""
-    names = [*reps.columns, "shard"]
+def _assigned(rows: DataFrame, fitted: np.ndarray, width: int) -> DataFrame:
+    """rows: (id, h1, h2, v). (least, most, h1, h2, v, shard): one row for each vector of a batch, told by its hashes, with the
+    least and the greatest of its ids."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    names = ["least", "most", "h1", "h2", "v", "shard"]
+    types = [kinds["id"], kinds["id"], kinds["h1"], kinds["h2"], kinds["v"], T.IntegerType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _nearest(unit(_matrix(batch.column(batch.num_columns - 1), width)).astype(np.float32), fitted, 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=names)
-
-    return reps.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in reps.schema), T.StructField("shard", T.IntegerType())]))
+            least = most = batch.column(0)
+            h1, h2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            order = np.lexsort((h2, h1))
+            first = np.ones(len(order), bool)
+            first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+            if not first.all():
+                ids, starts = least.to_pylist(), np.flatnonzero(first)
+                groups = [[ids[i] for i in g] for g in np.split(order, starts[1:])]
+                least, most = pa.array([min(g) for g in groups], least.type), pa.array([max(g) for g in groups], least.type)
+                batch = batch.take(pa.array(order[starts]))
+            near = _nearest(unit(_matrix(batch.column(3), width)).astype(np.float32), fitted, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([least, most, batch.column(1), batch.column(2), batch.column(3), pa.array(near.astype(np.int32))], names=names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
 
 
 def _ranked(q: np.ndarray, ids: np.ndarray, exact: np.ndarray, own: np.ndarray, place: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -468,7 +485,7 @@ def _build(
             for at in range(0, len(members), 10_000):
                 w = members[at : at + 10_000]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * width), pa.array(raw[w].ravel()))
-                yield batch(len(w), shard=np.full(len(w), t, np.int32), sub=np.full(len(w), x, np.int32), r=r[w], v=flat)
+                yield batch(len(w), shard=np.full(len(w), t, np.int32), sub=np.full(len(w), x, np.int32), r=r[w], v=flat, kth=kth[w])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, wait, first = None, [], TaskContext.get().partitionId() << 40
@@ -506,12 +523,15 @@ def _visit(k: int, width: int, exhaustive: bool):
         exact = np.empty((len(own), width))
         exact[graph.order] = unit(np.frombuffer(one["vectors"], np.float32).reshape(-1, width))
         r, v = visits.column("r").combine_chunks().to_numpy(), _matrix(visits.column("v").combine_chunks(), width)
+        kth = visits.column("kth").combine_chunks().to_numpy()
         parts = []
         block = _step(len(own)) if exhaustive else 4096
         for at in range(0, len(r), block):
             q = unit(v[at : at + block])
             near, sims = _ranked(q, _scan(q, exact, k) if exhaustive else graph.search(q, one["ef"]), exact, own, place, r[at : at + block], k)
-            parts.append(pa.Table.from_arrays([pa.array(r[at : at + 4096]), *_lists(near, sims)], names=names))
+            sims[sims < kth[at : at + block, None]] = -9  # what the member has better ones than
+            some = (sims > -9).any(1)
+            parts.append(pa.Table.from_arrays([pa.array(r[at : at + block][some]), *_lists(near[some], sims[some])], names=names))
         return pa.concat_tables(parts)
 
     return run

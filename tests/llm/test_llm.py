@@ -1,5 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, and the cases that its docstring defines."""
 
+import datetime as dt
+import math
 import os
 import random
 import unicodedata
@@ -111,6 +113,51 @@ def test_a_mention_can_be_outvoted(spark):
     assert rows(conversations.conversations(m, f).select("session_id").distinct()) == [("t",)]
 
 
+def test_links_to_any_earlier_unit(spark):
+    """Parents far back: behind many questions, on the day before, and by words that many others come before."""
+    long = " ".join(f"word{i:03}" for i in range(60))
+    between = [(f"m{i:02}", "s", f"note {chr(97 + i) * 6}", None, f"2025-01-02 00:{i + 5:02}:00") for i in range(12)]
+    m = _messages(spark, [
+        ("a", "s", "about liquidity ratios", None, "2025-01-01 00:00:00"), ("b", "s", "which capital buffers apply here", None, "2025-01-01 23:58:00"), *between,
+        ("a", "s", None, "which capital buffers apply here", "2025-01-02 00:20:00"), ("c", "s", None, "capital buffers again", "2025-01-05 00:00:00"),
+        ("x", "t", long + " mine", None, "2025-01-01 00:00:00"), ("y", "t", long + " other else", None, "2025-01-01 00:00:00"), ("z", "t", None, "mine " + long, "2025-01-03 00:00:00"),
+        ("d", "u", "fine", "good", "2025-01-01 00:00:00"),
+    ])
+    f = spark.createDataFrame([], "session_id string, message_id string")
+    got = {(r.message_id, r.role): r.parent_id for r in conversations.links(conversations.units(conversations.exchanges(m, f))).collect()}
+    assert got["a", "assistant"] == "b" and got["c", "assistant"] == "b" and got["z", "assistant"] == "x"
+    both = m.union(_messages(spark, [(k, "s", None, "something", "2025-01-02 01:00:00") for k in ["b", *(x[0] for x in between)]] + [("c", "s", "something", None, "2025-01-05 00:00:00")]))
+    assert rows(conversations.conversations(both, f).select("session_id").distinct()) == [("u",)]
+
+
+def test_links_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    vocabulary, data = [f"w{i:03}x" for i in range(12)], []
+    for i in range(240):
+        at = rng.integers(0, 400_000) if i % 12 < 8 else rng.integers(75_000, 95_000)  # some of the sessions have many at once
+        for side, t in ((0, at), (1, at + rng.integers(0, 15_000))):
+            text = " ".join(rng.choice(vocabulary, rng.integers(1, 5)))
+            day, rest = divmod(int(t), 86_400)
+            data.append((f"{i:03}", f"s{i % 12}", None if side else text, text if side else None, f"2025-01-{1 + day:02} {rest // 3600:02}:{rest // 60 % 60:02}:{rest % 60:02}"))
+    m, f = _messages(spark, data), spark.createDataFrame([], "session_id string, message_id string")
+    got = {(r.message_id, r.role): (r.parent_id, r.parent_role, r.score) for r in conversations.links(conversations.units(conversations.exchanges(m, f))).collect()}
+    units = [(r[1], r[4], r[0], "assistant" if r[2] is None else "user", set((r[2] or r[3]).split())) for r in data]
+    lost = set()
+    for s, t, i, role, words in units:
+        best = (-1.0,)
+        for s2, t2, i2, role2, words2 in units:
+            own = role == "assistant" and role2 == "user" and i2 == i
+            if s2 == s and (own or (t2, i2) < (t, i) and (role == "user" or role2 == "user")):
+                seconds = (dt.datetime.fromisoformat(t) - dt.datetime.fromisoformat(t2)).total_seconds()
+                score = 1.5 * own + math.exp(-seconds / 3600) + len(words & words2) / min(len(words), len(words2))
+                best = max(best, (round(score, 9), t2, role2 == "assistant", i2, role2))
+        parent = got[i, role]
+        assert (parent[:2] if parent[0] else (None, None)) == (best[3:] if len(best) > 1 else (None, None))
+        lost |= {s} if role == "assistant" and parent[0] != i else set()
+    assert 0 < len(lost) < 12
+    assert {r[0] for r in conversations.conversations(m, f).select("session_id").collect()} == {f"s{i}" for i in range(12)} - lost
+
+
 def test_interleaved_threads_are_parted_by_links(spark):
     """Two talks in one channel, message by message, with nothing but words and times to tell them apart."""
     one = ["reporting liquidity ratios quarterly", "liquidity ratios quarterly reporting deadline", "deadline for liquidity ratios reporting", "ratios reporting deadline extended"]

@@ -5,9 +5,10 @@ one search. Centroids, fitted on a bounded sample of vectors (``sample`` rows),
 sample shows that a shard would hold several times as many vectors as others, it gets more centroids, so hot regions become
 several shards. In each shard a graph is built in growing batches and stored as flat neighbour arrays, one for each layer,
 with its vectors; how wide a beam the graph needs is measured on a sample of its members. Each member is searched in its
-own graph; the similarity of its k-th neighbour then tells which other shards may well hold a better one (a shard lies
+own graph, from its own node; the similarity of its k-th neighbour then tells which other shards may well hold a better one (a shard lies
 behind the plane midway between the two centroids), and the member is searched there as well, in up to ``probes`` shards,
-nearest first: those whose plane is nearer than ``reach`` times the k-th neighbour, by 1 - similarity. Similarities are
+nearest first: those whose plane is nearer than ``reach`` times the k-th neighbour, by 1 - similarity. New nodes and visitors
+are compared with all nodes of a graph of up to ``SCANNED``, which costs less there than a walk. Similarities are
 computed again in double precision, rounded to 6 decimals, and the results of the shards are merged, ties to the smaller id.
 
 ``exact=True`` is the exact way: shards are scanned instead of walked, and every shard is visited that can hold a better
@@ -38,6 +39,8 @@ from docspark.session import written
 NONE = np.float32(-4)
 #: How many vectors visit a shard in one task.
 VISITORS = 1 << 17
+#: Up to so many nodes, comparing a new one or a visitor with all costs less than a walk, and misses none.
+SCANNED = 16_384
 
 
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +129,22 @@ def spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarr
     return out if out.shape[1] == m else np.pad(out, ((0, 0), (0, m - out.shape[1])), constant_values=-1)
 
 
+def scan(x: np.ndarray, q: np.ndarray, most: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``q`` the ``most`` best of all of ``x``, without the row ``own`` of it: ids and similarities, best first."""
+    most = min(most, len(x) - (own is not None))
+    step = max(1, min(1024, (1 << 21) // len(x)))
+    ids, sims = np.empty((len(q), most), np.int64), np.empty((len(q), most), np.float32)
+    for at in range(0, len(q) if most else 0, step):
+        far = -(q[at : at + step] @ x.T)
+        if own is not None:
+            far[np.arange(len(far)), own[at : at + step]] = -NONE
+        some = np.argpartition(far, most - 1, axis=1)[:, :most]
+        far = np.take_along_axis(far, some, 1)
+        top = np.argsort(far, axis=1, kind="stable")
+        ids[at : at + step], sims[at : at + step] = np.take_along_axis(some, top, 1), -np.take_along_axis(far, top, 1)
+    return ids, sims
+
+
 class Graph:
     """Over unit vectors ``x``; ``m`` links a node in the upper layers, twice as many in the lowest."""
 
@@ -159,16 +178,19 @@ class Graph:
         done = start
         while done < size:
             batch = np.arange(done, min(size, done + max(64, min(done // 4, 1024))))
-            entry = self._entry(x[batch])
-            entry = np.where(entry < done, entry, 0)
-            ids, sims = beam(x[:done], links[:done], x[batch], entry, ef)
-            s = x[batch] @ x[batch].T  # those that come together see each other as well
-            np.fill_diagonal(s, NONE)
-            mates = np.argsort(-s, axis=1, kind="stable")[:, :8]
-            ids = np.concatenate((ids, batch[mates]), 1)
-            sims = np.concatenate((sims, np.take_along_axis(s, mates, 1)), 1)
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :ef]
-            ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+            if done <= SCANNED:
+                ids, sims = scan(x[: int(batch[-1]) + 1], x[batch], ef, batch)
+            else:
+                entry = self._entry(x[batch])
+                entry = np.where(entry < done, entry, 0)
+                ids, sims = beam(x[:done], links[:done], x[batch], entry, ef)
+                s = x[batch] @ x[batch].T  # those that come together see each other as well
+                np.fill_diagonal(s, NONE)
+                mates = np.argsort(-s, axis=1, kind="stable")[:, :8]
+                ids = np.concatenate((ids, batch[mates]), 1)
+                sims = np.concatenate((sims, np.take_along_axis(s, mates, 1)), 1)
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :ef]
+                ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
             links[batch] = spread(x, ids, sims, width)
             self._back(x, links, batch, width)
             done = int(batch[-1]) + 1
@@ -202,20 +224,30 @@ class Graph:
             top = np.argsort(-sims, axis=1, kind="stable")
             links[own] = spread(x, np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1), width)
 
-    def search(self, q: np.ndarray, ef: int = 48, block: int = 1024) -> np.ndarray:
-        """Of each row of ``q`` the indices in the given vectors of about the ``ef`` best ones, -1: none."""
+    def search(self, q: np.ndarray, ef: int = 48, block: int = 1024, members: np.ndarray | None = None) -> np.ndarray:
+        """Of each row of ``q`` the indices in the given vectors of about the ``ef`` best ones, -1: none. members: the rows are
+        these of the given vectors, so the walks start at themselves."""
         out = []
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
         for at in range(0, len(q), block):
             part = np.ascontiguousarray(q[at : at + block], np.float32)
-            entry = np.zeros((len(part), 1), np.int64)
-            for links in reversed(self.layers[1:]):
-                entry = beam(self.x[: len(links)], links, part, entry, 8, 2)[0][:, :4]
+            if members is not None:
+                entry = place[members[at : at + block], None]
+            else:
+                entry = np.zeros((len(part), 1), np.int64)
+                for links in reversed(self.layers[1:]):
+                    entry = beam(self.x[: len(links)], links, part, entry, 8, 2)[0][:, :4]
             ids = beam(self.x, self.layers[0], part, entry, ef)[0]
             out.append(np.where(ids >= 0, self.order[ids], -1))
         return np.concatenate(out) if out else np.empty((0, ef), np.int64)
 
+    def visited(self, q: np.ndarray, ef: int = 48) -> np.ndarray:
+        """As :meth:`search`, for vectors from elsewhere, of whose best ones walks miss more: few nodes are all compared."""
+        return self.order[scan(self.x, np.ascontiguousarray(q, np.float32), ef)[0]] if len(self.x) <= SCANNED else self.search(q, ef)
+
 
-def wide_enough(graph: Graph, x: np.ndarray, k: int, ef: int, target: float, sample: int = 128) -> int:
+def wide_enough(graph: Graph, x: np.ndarray, k: int, ef: int, target: float, sample: int = 512) -> int:
     """The width of the beam, ``ef`` or half as much again and so on, that finds ``target`` of the ``k`` nearest of ``sample`` vectors of
     the graph's own, which are compared with all. Dense regions need wider beams than others."""
     some = np.unique(np.linspace(0, len(x) - 1, min(len(x), sample)).astype(int))
@@ -226,7 +258,7 @@ def wide_enough(graph: Graph, x: np.ndarray, k: int, ef: int, target: float, sam
         return ef
     last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-9
     while ef < len(x):
-        ids = graph.search(x[some], ef)
+        ids = graph.search(x[some], ef, members=some)
         found = (np.take_along_axis(s, ids, 1) >= last) & (ids >= 0)
         if np.minimum(found.sum(1), k).mean() >= target * k:
             break
@@ -304,7 +336,7 @@ _OUT = (
 
 def neighbours(
     rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, width: int = 64, probes: int = 8, reach: float = 0.1,
-    shard_size: int = 2_048, sample: int = 50_000, ef: int = 12, build_ef: int = 48, m: int = 16, target: float = 0.99, exact: bool = False,
+    shard_size: int = 2_048, sample: int = 50_000, ef: int = 12, build_ef: int = 48, m: int = 16, target: float = 0.999, exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour, similarity): of each usable row the ``k`` rows with the most similar vectors, not itself."""
     v = F.col("v")
@@ -458,7 +490,7 @@ def _build(
             wide = max(p[1].shape[1] for p in parts)
             near, sims = (np.concatenate([np.pad(p[i], ((0, 0), (0, wide - p[i].shape[1])), constant_values=-9) for p in parts]) for i in (0, 1))
         else:
-            near, sims = _ranked(exact, graph.search(exact, beam_), exact, r, place, r, k)
+            near, sims = _ranked(exact, graph.search(exact, beam_, members=np.arange(len(exact))), exact, r, place, r, k)
         lists = _lists(near, sims)
         yield batch(len(r), r=r, near=lists[0], sim=lists[1], rid=rows.column(2), many=rows.column(3), h1=rows.column(4), h2=rows.column(5))
         links = np.concatenate([x.ravel() for x in graph.layers]).astype(np.int32)
@@ -528,7 +560,7 @@ def _visit(k: int, width: int, exhaustive: bool):
         block = _step(len(own)) if exhaustive else 4096
         for at in range(0, len(r), block):
             q = unit(v[at : at + block])
-            near, sims = _ranked(q, _scan(q, exact, k) if exhaustive else graph.search(q, one["ef"]), exact, own, place, r[at : at + block], k)
+            near, sims = _ranked(q, _scan(q, exact, k) if exhaustive else graph.visited(q, one["ef"]), exact, own, place, r[at : at + block], k)
             sims[sims < kth[at : at + block, None]] = -9  # what the member has better ones than
             some = (sims > -9).any(1)
             parts.append(pa.Table.from_arrays([pa.array(r[at : at + block][some]), *_lists(near[some], sims[some])], names=names))

@@ -425,6 +425,17 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(got, want, strict=True)]) > 0.95
 
 
+def test_visitors_find_all_and_members_start_at_themselves():
+    rng = np.random.default_rng(9)
+    x, q = hnsw.unit(rng.normal(size=(1500, 24))), hnsw.unit(rng.normal(size=(200, 24)))
+    graph = hnsw.Graph(x, 16, 48)
+    assert (np.sort(graph.visited(q, 6)) == np.sort(np.argsort(-(q @ x.T), axis=1)[:, :6])).all()
+    some = np.arange(0, 1500, 3)
+    assert (graph.search(x[some], 12, members=some)[:, 0] == some).all()
+    ids, sims = hnsw.scan(x[:5], x[:5], 9, np.arange(5))
+    assert ids.shape == (5, 4) and (np.diff(sims) <= 0).all() and not (ids == np.arange(5)[:, None]).any()
+
+
 def test_hot_regions_get_more_centroids(spark):
     rng = np.random.default_rng(8)
     dense = hnsw.unit(np.array([1.0, *[0.0] * 15]) + 0.05 * rng.normal(size=(3000, 16)))
